@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from tidemark.llm.bpe import op6_bpe
 from tidemark.llm.token_files import op3_token_files
 
 
 def queries() -> dict:
-    return {"op3_token_files": op3_token_files}
+    return {"op3_token_files": op3_token_files, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
