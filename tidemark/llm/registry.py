@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op6_bpe
+from tidemark.llm.decontaminate import op2_decontaminate
 from tidemark.llm.simhash import op10_simhash
 from tidemark.llm.token_files import op3_token_files
 
 
 def queries() -> dict:
-    return {"op3_token_files": op3_token_files, "op6_bpe": op6_bpe, "op10_simhash": op10_simhash}
+    return {"op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op6_bpe": op6_bpe, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
