@@ -9,6 +9,9 @@ output is never read.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,6 +26,7 @@ from tidemark.llm.common import arrow_limits, as_bytes, work_dir
 MAGIC = b"EFT1"
 HEADER = struct.Struct("<4sBBxxIQQII")  # magic, bytes an id, low bits, documents, ids, bytes of low part, words of high part, samples
 SAMPLE = 256
+TAIL = re.compile(rb"(?<=[a-z])[.,](?= )")
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -118,45 +122,75 @@ class WordCache:
     """ids (as bytes) of pieces between ASCII white space, each encoded once by the library.
 
     The normalizer and the pre-tokenizer of a vocabulary that drops white space never join text across it, so a text's
-    ids are those of its pieces in order. The cache starts anew when it holds `limit` pieces.
+    ids are those of its pieces in order. New pieces go to the library in long lines, parted by a special token, whose
+    id then parts the ids. The cache has two generations of at most `limit` pieces: pieces in use move to the young one.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 350_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.limit, self.known = limit, {}
-
-    def learn(self, missing: list[bytes]) -> None:
-        known, base, later = self.known, {}, []
-        for w in missing:
-            # a letter followed by one final stop or comma: the pattern always cuts between them
-            if len(w) > 1 and w[-1] in b".," and (97 <= w[-2] <= 122 or 65 <= w[-2] <= 90):
-                later.append(w)
-                if w[:-1] not in known:
-                    base[w[:-1]] = None
-                if w[-1:] not in known:
-                    base[w[-1:]] = None
-            else:
-                base[w] = None
-        words = list(base)
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for w, e in zip(words, found, strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w in later:
-            known[w] = known[w[:-1]] + known[w[-1:]]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.part_id, token = min(added.items())
+        self.part, self.specials = token.content.encode(), [t.content.encode() for t in added.values()]
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        if suffix:
+            self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.limit, self.known, self.old = limit, {}, {}
+
+    def ids_of(self, line: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([line.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+
+    def encode_new(self, words: list[bytes]) -> None:
+        """words in lines: those of ASCII letters alone end at the one token with the end-of-word mark."""
+        simple = [w for w in words if w.isalpha()] if self.word_end.any() else []
+        other = [w for w in words if not w.isalpha()] if simple else words
+        for words_now, gap, marks in ((simple, b" ", True), (other, self.part, False)):
+            for k in range(0, len(words_now), 512):
+                line = words_now[k : k + 512]
+                ids = self.ids_of(gap.join(line))
+                raw = ids.tobytes()
+                cuts = np.flatnonzero(self.word_end[ids]) + 1 if marks else np.append(np.flatnonzero(ids == self.part_id), len(ids))
+                if len(cuts) != len(line):
+                    raise ValueError("the vocabulary does not part text as expected")
+                start = 0
+                for w, e in zip(line, (4 * cuts).tolist(), strict=True):
+                    self.known[w] = raw[start:e]
+                    start = e if marks else e + 4
+
+    def learn(self, missing: set[bytes]) -> None:
+        if len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        again = old.keys() & missing
+        for w in again:
+            known[w] = old[w]
+        missing = missing - again
+        special = [w for w in missing if b"<|" in w or any(s in w for s in self.specials)]
+        for w in special:
+            known[w] = self.ids_of(w).tobytes()
+        ascii_words = [w for w in missing.difference(special) if w.isascii()]
+        other = [w for w in missing.difference(special) if not w.isascii()]
+        # the normalizer lower-cases; the pattern always cuts between a letter and one final stop or comma
+        base = TAIL.sub(b"", b" ".join(ascii_words).lower() + b" ").split(b" ")[:-1]
+        new = {**dict.fromkeys(base), **dict.fromkeys(other), b".": None, b",": None}
+        self.encode_new([w for w in new if w not in known])
+        for w, b in zip(ascii_words, base, strict=True):
+            known[w] = known[b] if len(w) == len(b) else known[b] + known[w[-1:]]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known.clear()
         pieces = [t.split() if t else [] for t in texts]
         missing: set[bytes] = set()
         for p in pieces:
             missing.update(p)
         if missing := missing.difference(self.known):
-            self.learn(list(missing))
+            if len(self.known) > self.limit:
+                missing.update(*pieces)
+            self.learn(missing)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
