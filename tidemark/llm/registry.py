@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from tidemark.llm.bpe import op6_bpe
 from tidemark.llm.decontaminate import op2_decontaminate
+from tidemark.llm.html_text import op8_html_text
 from tidemark.llm.quality import op9_quality
 from tidemark.llm.simhash import op10_simhash
 from tidemark.llm.token_files import op3_token_files
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op6_bpe": op6_bpe, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
+    return {"op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op6_bpe": op6_bpe, "op8_html_text": op8_html_text, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
