@@ -15,6 +15,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -169,18 +170,20 @@ class WordCache:
         again = old.keys() & missing
         for w in again:
             known[w] = old[w]
-        missing = missing - again
-        special = [w for w in missing if b"<|" in w or any(s in w for s in self.specials)]
-        for w in special:
-            known[w] = self.ids_of(w).tobytes()
-        ascii_words = [w for w in missing.difference(special) if w.isascii()]
-        other = [w for w in missing.difference(special) if not w.isascii()]
+        missing -= again
+        blob = b" ".join(missing)
+        if b"<|" in blob or any(s in blob for s in self.specials):
+            for w in [w for w in missing if b"<|" in w or any(s in w for s in self.specials)]:
+                known[w] = self.ids_of(w).tobytes()
+                missing.discard(w)
+        ascii_words = [w for w in missing if w.isascii()]
         # the normalizer lower-cases; the pattern always cuts between a letter and one final stop or comma
         base = TAIL.sub(b"", b" ".join(ascii_words).lower() + b" ").split(b" ")[:-1]
-        new = {**dict.fromkeys(base), **dict.fromkeys(other), b".": None, b",": None}
-        self.encode_new([w for w in new if w not in known])
+        new = set(base).union((b".", b","), missing.difference(ascii_words))
+        self.encode_new(list(new.difference(known)))
         for w, b in zip(ascii_words, base, strict=True):
-            known[w] = known[b] if len(w) == len(b) else known[b] + known[w[-1:]]
+            if w != b:
+                known[w] = known[b] if len(w) == len(b) else known[b] + known[w[-1:]]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         pieces = [t.split() if t else [] for t in texts]
@@ -195,30 +198,37 @@ class WordCache:
         return [b"".join(map(get, p)) for p in pieces]
 
 
+@lru_cache(maxsize=1)
+def word_cache(path: str) -> WordCache:
+    """One for each Python worker: later tasks find the pieces of earlier ones."""
+    return WordCache(path)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, container_ids: int = 1 << 20) -> None:
     """Encode whole texts in ascending id order and write containers of about container_ids ids to path.
 
     A null text counts as empty (its only id is end_id); rows with a null id come first; rows of one id are ordered by
-    their text, repeated rows are all kept. The table has columns part, seq, doc_ids (binary, 8 bytes a row; nulls in
+    their text, repeated rows are all kept. The table has columns part, before (ids of the part's
+    earlier containers), doc_ids (binary, 8 bytes a row; nulls in
     null_ids, their number), n_ids and data.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("null_ids", pa.int32()), ("doc_ids", pa.binary()), ("n_ids", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("null_ids", pa.int32()), ("doc_ids", pa.binary()), ("n_ids", pa.int64()), ("data", pa.binary())])
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def pack(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, cache = TaskContext.get().partitionId(), WordCache(tokenizer_path)
+        part, cache = TaskContext.get().partitionId(), word_cache(tokenizer_path)
         keys: list[int | None] = []
         held: list[bytes] = []
-        total = seq = 0
+        total = before = 0
 
         def flush() -> pa.RecordBatch:
             nulls = sum(k is None for k in keys)
             data = to_container(b"".join(held), np.cumsum([len(h) // 4 for h in held]))
-            row = [[part], [seq], [nulls], [np.array(keys[nulls:], "<i8").tobytes()], [total], [data]]
+            row = [[part], [before], [nulls], [np.array(keys[nulls:], "<i8").tobytes()], [total], [data]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for b in blocks:
@@ -228,13 +238,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
                 total += len(held[-1]) // 4
                 if total >= container_ids:
                     yield flush()
-                    keys, held, total, seq = [], [], 0, seq + 1
+                    keys, held, total, before = [], [], 0, before + total
         if keys:
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
     ordered = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("k").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("k").asc_nulls_first(), F.xxhash64("t"), "t")
-    ordered.mapInArrow(pack, "part int, seq int, null_ids int, doc_ids binary, n_ids long, data binary").write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(pack, "part int, before long, null_ids int, doc_ids binary, n_ids long, data binary").write.option("compression", "uncompressed").parquet(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
@@ -242,15 +252,11 @@ def read_token_files(spark, path: str) -> DataFrame:
     arrow_limits(spark, rows=4)
     table = spark.read.parquet(path)
     # one row a partition meets on the driver: its number is that of the write's tasks, whatever the data
-    totals = sorted((r["part"], r["n"]) for r in table.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    totals = sorted((r["part"], r["n"]) for r in table.groupBy("part").agg(F.max(F.col("before") + F.col("n_ids")).alias("n")).collect())
     base, run = {}, 0
     for part, n in totals:
         base[part], run = run, run + n
-    from pyspark.sql import Window
-
-    inner = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = table.select("part", "seq", F.coalesce(F.sum("n_ids").over(inner), F.lit(0)).alias("before"))
-    table = table.join(before, ["part", "seq"]).select("part", "null_ids", "doc_ids", "data", "before")
+    table = table.select("part", "null_ids", "doc_ids", "data", "before")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def unpack(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
