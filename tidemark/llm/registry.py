@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op6_bpe
+from tidemark.llm.chat_tree import op1_chat_tree
 from tidemark.llm.decontaminate import op2_decontaminate
 from tidemark.llm.html_text import op8_html_text
 from tidemark.llm.quality import op9_quality
@@ -15,7 +16,7 @@ from tidemark.llm import topk
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op5_shards": op5_shards, "op6_bpe": op6_bpe, "op7_suffix_dedup": op7_suffix_dedup, "op8_html_text": op8_html_text, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
+    return {"op1_chat_tree": op1_chat_tree, "op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op5_shards": op5_shards, "op6_bpe": op6_bpe, "op7_suffix_dedup": op7_suffix_dedup, "op8_html_text": op8_html_text, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
