@@ -3,7 +3,7 @@ import re
 import xxhash
 
 from tidemark.llm.components import components
-from tidemark.llm.simhash import fingerprint, links, near_duplicates, op10_simhash
+from tidemark.llm.simhash import fingerprint, keep_one, links, near_duplicates, op10_simhash
 
 
 def slow_fingerprint(text):
@@ -79,3 +79,12 @@ def test_whole_table_against_brute_force(spark):
     got = op10_simhash(spark, sf).collect()
     assert {r.doc_id: r.fingerprint for r in got} == {k: f"{v:016x}" for k, v in docs}
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_keep_one(spark):
+    rows = [(1, None, "x"), (2, "", "y"), (5, "one two three four", "x"), (5, "one two three four", "z"), (4, "ONE two three four", "x"), (4, "ONE two three four", "x"), (None, "one two three four", "x"), (None, "alone here", "q"), (9, "other words again", "q"), (9, "quite another text", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string")
+    docs = docs.withColumnRenamed("n", "source")
+    got = sorted(((r.doc_id, r.text) for r in keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, None), (4, "ONE two three four"), (None, "alone here"), (9, "other words again"), (9, "quite another text")], key=str)
+    assert keep_one(docs.where("false")).collect() == []

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +153,12 @@ class ByteBPE:
         return raw.decode("utf-8", "replace").encode()
 
 
+@lru_cache(maxsize=1)
+def byte_bpe(path: str) -> ByteBPE:
+    """One for each Python worker: later tasks find the pieces of earlier ones."""
+    return ByteBPE(path)
+
+
 def encode_table(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """Every row with n_tokens long, ids binary (LE u32) and decoded string appended; a null text counts as empty.
 
@@ -165,7 +172,7 @@ def encode_table(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Da
     at = [f.name for f in kept].index(text_col)
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(vocabulary)
+        bpe = byte_bpe(vocabulary)
         for b in blocks:
             ids = [bpe.encode(t) if t else b"" for t in b.column(at).to_pylist()]
             decoded = [bpe.decode(x) for x in ids]
@@ -188,7 +195,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(vocabulary)
+        bpe = byte_bpe(vocabulary)
         for b in blocks:
             ids = [bpe.encode(t) if t else b"" for t in b.column(1).to_pylist()]
             cols = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids])]

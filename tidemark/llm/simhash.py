@@ -41,15 +41,15 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. One pass over whole texts; null and wordless texts give 0."""
+    """(doc_id, rk, fp): rk is a hash of the text, fp the fingerprint as a signed long; null and wordless texts give 0."""
     arrow_limits(docs.sparkSession)
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks:
             fps = np.array([fingerprint(t, width) for t in as_bytes(b.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "rk", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("rk")).mapInArrow(run, "doc_id long, rk long, fp long")
 
 
 def _segment(fp: Column, k: int) -> Column:
@@ -70,6 +70,17 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
     return probes.join(table, ["k", "key"]).where((F.col("a") != F.col("fp")) & (far <= bits) & (~F.col("same") | (F.col("a") < F.col("fp")))).select("a", F.col("fp").alias("b"))
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): rows(doc_id, rk, fp) of the documents; classes(fp, best) with the first of a group's (no_id, doc_id, rk)."""
+    rows = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    least = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk")).alias("least")), "distinct")
+    pairs = written(links(least.select("fp"), bits), "links")
+    found = components(pairs, "components").withColumnRenamed("node", "fp")
+    named = written(least.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+    best = named.groupBy("root").agg(F.min("least").alias("best"))
+    return rows, named.join(best, "root").select("fp", "best")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -77,16 +88,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and wordless texts have fingerprint zero and link like any other. Rows of one doc_id and repeated rows
     each give a row. A null doc_id takes part in linking but names no component (null where no id is in reach).
     """
-    by_doc = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    least = by_doc.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    pairs = written(links(least.select("fp"), bits), "links")
-    # components of fingerprints by number; then the least document of each
-    found = components(pairs, "components")
-    named = least.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = written(named, "named")
-    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(best, "root").select("fp", "component_id")
-    return by_doc.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, classes = grouped(docs, id_col, text_col, width, bits)
+    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
+    """docs with one document of each group: the one of least id (no id comes last; of equal ids the least text hash)."""
+    rows, classes = grouped(docs, id_col, text_col, width, bits)
+    keepers = written(rows.join(classes, "fp").where((F.col("rk") == F.col("best.rk")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))).groupBy("doc_id", "rk").agg(F.count(F.lit(1)).alias("n")), "keepers")
+    keyed = docs.withColumn("_rk", F.xxhash64(text_col))
+    kept = keyed.alias("d").join(keepers.alias("k"), (F.col("_rk") == F.col("k.rk")) & F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("k.doc_id"))).select("d.*", "n")
+    # rows that repeat a kept one in id and text: one of them stays
+    again = kept.where("n > 1").dropDuplicates([id_col, "_rk"]) if keepers.where("n > 1").limit(1).count() else kept.where("false")
+    return kept.where("n = 1").unionByName(again).drop("_rk", "n")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
