@@ -25,7 +25,7 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 WIDTH = 200
 GRAM = 48
 CHUNK = 1 << 19
-BLOCK = 2048  # segments of one anchor that are sorted in one array; more go to several arrays
+BLOCK = 8192  # segments of one anchor that are sorted in one array; more go to several arrays
 ARRAY_BYTES = 1 << 18
 
 
@@ -222,11 +222,12 @@ def cut_segments(rows: DataFrame, width: int) -> DataFrame:
 def sorted_segments(segs: DataFrame, width: int) -> DataFrame:
     """Segments in the order of (h, block) -> (h, fp, lo, hi, block, hash): runs of repeated windows of segments without copies.
 
-    Rows with a hash are the single windows of anchors whose segments went to several arrays.
+    Rows with a hash are windows of anchors whose segments went to several arrays: one row for equal windows of an array.
     """
     schema = pa.schema([("h", pa.int64()), ("fp", pa.int64()), ("m", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("block", pa.int32()), ("hash", pa.int64())])
 
     def solve(held: list[dict]) -> Iterator[tuple]:
+        told: set[tuple[int, int]] = set()
         for s, flags in zip(held, repeated_windows([(s["data"], s["n"]) for s in held], width), strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
             if s["m"] == 1:
@@ -235,6 +236,9 @@ def sorted_segments(segs: DataFrame, width: int) -> DataFrame:
             if s["blocks"] > 1:
                 at = np.arange(s["n"])
                 for k, x in enumerate(Hasher(np.frombuffer(s["data"], np.uint8)).of(at, at + width).view(np.int64).tolist()):
+                    if (s["h"], x) in told:
+                        continue
+                    told.add((s["h"], x))
                     yield s["h"], s["fp"], s["m"], k, k + 1, s["block"], x
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +266,7 @@ def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM, block:
     found = anchor_rows(base, width, gram)
     # partial aggregates; an anchor in a third of all documents is one row a task
     counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("c > 1").select("h", (F.col("a") != F.col("b")).alias("mixed"))
+    counts = written(counts, "repeated-grams")  # a plain exchange on either side of the join lets a hot anchor be split
     dup = written(found.join(counts, "h"), "repeated-anchors")
     classes = dup.where("mixed").groupBy("h", "fp").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rk", "first", "n")).alias("one")).select("h", "fp", "m", "one.rk", "one.first", "one.n")
     classes = written(classes, "segment-classes")
