@@ -1,6 +1,6 @@
 """Manifests: version edits, the file set they make, and what to compact next.
 
-As DataFrames, an edit is rows (step, action, level, num, size, min_key, max_key). For planning, a version is a plain list
+As DataFrames, an edit is rows (step, ord, action, level, num, size, min_key, max_key). For planning, a version is a plain list
 of File on the driver: it has one entry a file, never one a row of data.
 """
 
@@ -25,7 +25,7 @@ def netted(edits: DataFrame) -> DataFrame:
 
     A deletion that undoes an addition of its own step leaves nothing; a lone deletion stays.
     """
-    w = Window.partitionBy("step", "level", "num").orderBy(F.col("at").desc())
+    w = Window.partitionBy("step", "level", "num").orderBy(F.col("ord").desc())
     last = edits.withColumn("_n", F.row_number().over(w)).withColumn("_added", F.max((F.col("action") == "add").cast("int")).over(Window.partitionBy("step", "level", "num")))
     return last.where((F.col("_n") == 1) & ~((F.col("action") == "del") & (F.col("_added") == 1))).drop("_n", "_added")
 
@@ -33,13 +33,13 @@ def netted(edits: DataFrame) -> DataFrame:
 def folded(edits: DataFrame, upto: int | None = None) -> DataFrame:
     """Live files after the edits: the last action of each (level, num) is an addition."""
     seen = edits if upto is None else edits.where(F.col("step") <= upto)
-    w = Window.partitionBy("level", "num").orderBy(F.col("step").desc(), F.col("at").desc())
-    return seen.withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) & (F.col("action") == "add")).drop("_n", "step", "at", "action")
+    w = Window.partitionBy("level", "num").orderBy(F.col("step").desc(), F.col("ord").desc())
+    return seen.withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) & (F.col("action") == "add")).drop("_n", "step", "ord", "action")
 
 
 def scalars(edits: DataFrame, names: list[str]) -> DataFrame:
     """The last known value of each scalar (comparer, sequence number, next file, journal)."""
-    return edits.agg(*[F.max_by(F.col(n), F.when(F.col(n).isNotNull(), F.struct("step", "at"))).alias(n) for n in names])
+    return edits.agg(*[F.max_by(F.col(n), F.when(F.col(n).isNotNull(), F.struct("step", "ord"))).alias(n) for n in names])
 
 
 def delta(old: DataFrame, new: DataFrame) -> DataFrame:

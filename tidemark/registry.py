@@ -1,11 +1,496 @@
-"""Queries over the driver's tables and the SQL that gives the same rows."""
+"""Queries over the driver's tables and the SQL that gives the same rows.
+
+The events table is the history: key user_id, sequence number event_id, a delete where event_type is 'error', else a
+put of value. String keys are event_type/user_id. Files are ranges of event_id with the keys they hold.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import bloom, keys
+from tidemark.operators import compaction, reads
+from tidemark.operators.reads import ChangeLog
+from tidemark.options import Options
+from tidemark.plans import manifest
+from tidemark.sources import journal
+from tidemark.sources.store import Store
+from tidemark.streaming import ingest
+from tidemark.workspace import shared_dir
+
+def kt():
+    return F.when(F.col("event_type") == "error", 2).otherwise(1)
+
+
+V = "v as (select user_id as k, event_id as seq, case when event_type = 'error' then 2 else 1 end as kt, value as val from events)"
+NEWEST = "newest as (select * from (select *, row_number() over (partition by k order by seq desc) as rn from v) where rn = 1)"
+FILES = "files as (select event_id // 500 as num, (event_id // 500) % 3 as level, count(*) as size, min(user_id % 97) as min_key, max(user_id % 97) as max_key, min(event_id) as min_seq, max(event_id) as max_seq from events where (event_id // 500) % 3 > 0 or user_id % 97 < 40 + (event_id // 500) group by 1, 2)"
+EDITS = "edits as (select o_orderkey // 16 as step, o_orderkey as ord, case when o_orderstatus = 'F' then 'del' else 'add' end as action, cast(o_orderkey % 3 as integer) as level, o_custkey % 200 as num, cast(o_totalprice as bigint) as size from orders)"
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def history(spark: SparkSession, sf: str) -> ChangeLog:
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("seq"), kt().alias("kt"), F.col("value").alias("val"))
+    return ChangeLog(rows, ("k",))
+
+
+def string_history(spark: SparkSession, sf: str) -> ChangeLog:
+    rows = table(spark, sf, "events").select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("k"), F.col("event_id").alias("seq"), F.lit(1).alias("kt"), F.col("value").alias("val"))
+    return ChangeLog(rows, ("k",))
+
+
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("num", F.floor(F.col("event_id") / 500)).withColumn("level", F.col("num") % 3).withColumn("key", F.col("user_id") % 97)
+    e = e.where((F.col("level") > 0) | (F.col("key") < 40 + F.col("num")))
+    return e.groupBy("num", "level").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("event_id").alias("min_seq"), F.max("event_id").alias("max_seq"))
+
+
+def edits(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    return o.select(F.floor(F.col("o_orderkey") / 16).alias("step"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderstatus") == "F", "del").otherwise("add").alias("action"), (F.col("o_orderkey") % 3).cast("int").alias("level"), (F.col("o_custkey") % 200).alias("num"), F.round("o_totalprice").cast("long").alias("size"))
+
+
+# ---- point reads, scans, snapshots
+
+
+@query(f"with {V}, {NEWEST} select k, seq, val from newest where kt = 1")
+def snapshot_latest(spark, sf):
+    return history(spark, sf).live()
+
+
+@query(f"with {V}, w as (select *, row_number() over (partition by k order by seq desc) as rn from v where seq <= 500) select k, seq, val from w where rn = 1 and kt = 1")
+def snapshot_at(spark, sf):
+    return history(spark, sf).live(500)
+
+
+@query(f"with {V} select k, seq, val from v where k = 7 and kt = 1 and seq = (select max(seq) from v where k = 7)")
+def get_one(spark, sf):
+    return history(spark, sf).get(7)
+
+
+@query(f"with {V}, {NEWEST} select k, seq from newest where kt = 2")
+def tombstones_at_head(spark, sf):
+    return history(spark, sf).deleted()
+
+
+@query(f"with {V}, {NEWEST}, asked as (select c_custkey as k from customer where c_custkey % 3 = 0) select a.k, n.seq, n.val from asked a left join (select * from newest where kt = 1) n on a.k = n.k")
+def multi_get_left(spark, sf):
+    asked = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
+    return history(spark, sf).multi_get(asked)
+
+
+@query(f"with {V}, {NEWEST}, asked as (select c_custkey as k from customer where c_custkey % 3 = 0) select a.k, n.seq, n.val from asked a join (select * from newest where kt = 1) n on a.k = n.k")
+def multi_get_hits(spark, sf):
+    asked = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
+    return history(spark, sf).multi_get(asked, how="inner")
+
+
+@query(f"with {V}, probes as (select distinct user_id as k, event_id // 3 as snap from events where event_type = 'purchase'), hit as (select p.k, p.snap, v.seq, v.kt, v.val, row_number() over (partition by p.k, p.snap order by v.seq desc) as rn from probes p left join v on v.k = p.k and v.seq <= p.snap) select k, snap, case when kt = 1 then seq end as seq, case when kt = 1 then val end as val from hit where rn = 1")
+def as_of_get(spark, sf):
+    probes = table(spark, sf, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("k"), F.floor(F.col("event_id") / 3).alias("snap")).distinct()
+    return history(spark, sf).as_of(probes, "snap")
+
+
+@query(f"with {V}, {NEWEST} select k, seq, val from newest where kt = 1 and k >= 42 order by k limit 1")
+def find_ge(spark, sf):
+    return history(spark, sf).find_ge(42)
+
+
+@query(f"with {V}, {NEWEST} select k, seq, val from newest where kt = 1 and k >= 10 order by k limit 25")
+def seek_limit(spark, sf):
+    return history(spark, sf).seek(10, 25)
+
+
+@query(f"with {V}, {NEWEST} select k, seq, val from newest where kt = 1 and k >= 20 and k < 60")
+def range_scan(spark, sf):
+    return history(spark, sf).range(20, 60)
+
+
+@query("with v as (select event_type || '/' || user_id as k, event_id as seq, value as val from events), n as (select *, row_number() over (partition by k order by seq desc) as rn from v) select k, seq, val from n where rn = 1 and k like 'click/1%'")
+def prefix_scan(spark, sf):
+    return string_history(spark, sf).prefix("click/1")
+
+
+@query(f"with {V}, {NEWEST} select k, seq from newest where kt = 1")
+def keys_only(spark, sf):
+    return history(spark, sf).keys_only()
+
+
+@query(f"with {V}, {NEWEST} select count(*) as n_live from newest where kt = 1")
+def count_live(spark, sf):
+    return history(spark, sf).keys_only().agg(F.count(F.lit(1)).alias("n_live"))
+
+
+@query("select o_custkey as k, max(o_orderkey) as seq, max_by(o_totalprice, o_orderkey) as val from orders group by o_custkey having max_by(o_orderstatus, o_orderkey) <> 'F'")
+def snapshot_orders(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", 2).otherwise(1).alias("kt"), F.col("o_totalprice").alias("val"))
+    return ChangeLog(o, ("k",)).live()
+
+
+# ---- layers, merges, orders
+
+
+@query(f"with {V} select k, seq, kt, val from v")
+def merge_runs(spark, sf):
+    log = history(spark, sf)
+    runs = [log.df.where(F.col("seq") % 4 == i) for i in range(4)]
+    return reads.merged(runs, reads.internal_order("k"))
+
+
+@query(f"with {V}, {NEWEST} select k, seq, val from newest where kt = 1")
+def layered_lookup(spark, sf):
+    df = history(spark, sf).df
+    top = df.agg(F.max("seq")).first()[0]
+    cuts = [-1, top // 2, top * 3 // 4, top]
+    layers = [df.where((F.col("seq") > a) & (F.col("seq") <= b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return reads.layered(layers[::-1], "k")
+
+
+@query(f"with {V} select k, max(seq) as seq, max_by(seq // 500, seq) as num from v where k between 3 and 9 group by k")
+def l0_arbitration(spark, sf):
+    df = history(spark, sf).df.where("k between 3 and 9").withColumn("num", F.floor(F.col("seq") / 500))
+    return ChangeLog(df, ("k",)).newest().select("k", "seq", "num")
+
+
+@query(f"with {V} select k, seq, row_number() over (partition by k order by seq desc, kt desc) as place from v")
+def internal_order(spark, sf):
+    w = Window.partitionBy("k").orderBy(*reads.internal_order("k")[1:])
+    return history(spark, sf).df.select("k", "seq", F.row_number().over(w).alias("place"))
+
+
+@query("select c_custkey, c_name from customer order by c_name desc limit 20")
+def user_key_order(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", "c_name").orderBy(F.desc("c_name")).limit(20)
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey limit 15")
+def heap_top_k(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return reads.top_k(df, [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], 15)
+
+
+@query("select o_custkey, array_to_string(list_sort(list(o_orderkey)), ',') as in_order from orders where o_custkey <= 200 group by o_custkey")
+def merge_sort(spark, sf):
+    o = table(spark, sf, "orders").where("o_custkey <= 200")
+    return o.groupBy("o_custkey").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string"))).alias("in_order"))
+
+
+@query("with p as (select p_partkey, p_size as probe from part) select p_partkey, cast(case when probe % 2 = 1 and probe <= 49 then (probe - 1) // 2 else -(least(25, probe // 2) + 1) end as integer) as place from p")
+def binary_search(spark, sf):
+    odd = F.array(*[F.lit(i) for i in range(1, 50, 2)])
+    return table(spark, sf, "part").select("p_partkey", reads.binary_search(odd, F.col("p_size")).alias("place"))
+
+
+@query("select event_id, 1000 + row_number() over (order by event_id) as seq from events where event_type <> 'view'")
+def sequence_assignment(spark, sf):
+    rows = table(spark, sf, "events").where("event_type <> 'view'").select("event_id")
+    return reads.assign_sequence(rows, ["event_id"], 1000)
+
+
+@query("select o_custkey, 10 * o_custkey + row_number() over (partition by o_custkey order by o_orderkey) - 1 as seq, o_orderkey from orders")
+def batch_entries(spark, sf):
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey"))).alias("entries"))
+    return reads.exploded_batch(o.withColumn("base", F.col("o_custkey") * 10), "entries", "base")
+
+
+@query(f"with {V} select k, seq, kt, val from v where false")
+def empty_scan(spark, sf):
+    df = history(spark, sf).df
+    return compaction.empty(spark, df.schema)
+
+
+# ---- compaction filter
+
+
+GC = "gc as (select *, lag(seq) over (partition by k order by seq desc) as newer from v)"
+
+
+@query(f"with {V}, {GC} select k, seq, kt, val from gc where newer is null or newer > 500")
+def gc_versions(spark, sf):
+    return compaction.drop_shadowed(history(spark, sf).df, 500, "k")
+
+
+@query(f"with {V}, {GC} select k, seq, kt, val from gc where (newer is null or newer > 500) and not (kt = 2 and seq <= 500)")
+def gc_full(spark, sf):
+    return compaction.compacted(history(spark, sf).df, 500, key="k")
+
+
+DEEP = "deep as (select o_custkey // 40 as num, min(o_custkey) as min_key, min(o_custkey) + 12 as max_key from orders group by 1)"
+
+
+@query(f"with {V}, {GC}, {DEEP} select k, seq, kt, val from gc where (newer is null or newer > 900) and not (kt = 2 and seq <= 900 and not exists (select 1 from deep where k between min_key and max_key))")
+def gc_base_level_anti(spark, sf):
+    deep = table(spark, sf, "orders").groupBy(F.floor(F.col("o_custkey") / 40).alias("num")).agg(F.min("o_custkey").alias("min_key"), (F.min("o_custkey") + 12).alias("max_key"))
+    return compaction.compacted(history(spark, sf).df, 900, deep, key="k")
+
+
+@query("select coalesce(min(event_id), 999999) as min_seq from events where event_type = 'purchase' and event_id > 400")
+def min_live_snapshot(spark, sf):
+    held = table(spark, sf, "events").where("event_type = 'purchase' and event_id > 400").select(F.col("event_id").alias("seq"))
+    return compaction.min_live(held, 999999)
+
+
+@query(f"with {V}, w as (select *, row_number() over (partition by k order by seq desc) as rn from v where seq <= 700) select k, seq, val from w where rn = 1 and kt = 1")
+def read_after_gc(spark, sf):
+    log = history(spark, sf)
+    return log.over(compaction.compacted(log.df, 500, key="k")).live(700)
+
+
+# ---- files, levels, manifest
+
+
+@query(f"with {FILES} select * from files")
+def file_stats(spark, sf):
+    return files(spark, sf)
+
+
+@query(f"with {FILES} select level, count(*) as n_files, cast(sum(size) as bigint) as bytes from files group by level")
+def level_counts(spark, sf):
+    return manifest.level_stats(files(spark, sf))
+
+
+@query(f"with {FILES} select cast(sum(size) as bigint) as total from files")
+def table_size_sum(spark, sf):
+    return files(spark, sf).agg(F.sum("size").alias("total"))
+
+
+@query(f"with {FILES} select level, case when level = 0 then count(*) / 12.0::double else sum(size) / (1000.0::double * 10 ** level) end as score from files group by level")
+def level_score(spark, sf):
+    return manifest.level_scores(files(spark, sf), Options(level_base=1000))
+
+
+@query(f"with {FILES}, s as (select level, case when level = 0 then count(*) / 12.0::double else sum(size) / (1000.0::double * 10 ** level) end as score from files group by level) select level, score, score >= 1 as needed from s order by score desc, level limit 1")
+def need_compaction(spark, sf):
+    return manifest.best_level(manifest.level_scores(files(spark, sf), Options(level_base=1000)))
+
+
+@query(f"with {FILES} select num, level, size, min_key, max_key, min_seq, max_seq from files where min_key <= 60 and max_key >= 50")
+def overlap_range(spark, sf):
+    return manifest.overlaps(files(spark, sf), 50, 60)
+
+
+@query("with f as (select o_orderkey // 64 as num, min(o_custkey) as min_key, min(o_custkey) + count(*) % 7 as max_key from orders group by 1) select a.num as a, b.num as b from f a join f b on a.num < b.num and a.min_key <= b.max_key and b.min_key <= a.max_key")
+def overlap_files(spark, sf):
+    f = table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 64).alias("num")).agg(F.min("o_custkey").alias("min_key"), (F.min("o_custkey") + F.count(F.lit(1)) % 7).alias("max_key"))
+    return manifest.overlap_pairs(f)
+
+
+@query("with r as (select c_custkey * 7 % 9973 as min_key, c_custkey * 7 % 9973 + c_nationkey % 5 as max_key from customer), m as (select *, max(max_key) over (order by min_key, max_key rows between unbounded preceding and 1 preceding) as reach from r), i as (select *, sum(case when reach is null or min_key > reach then 1 else 0 end) over (order by min_key, max_key rows unbounded preceding) as island from m) select cast(island as bigint) as island, min(min_key) as min_key, max(max_key) as max_key, count(*) as n from i group by 1")
+def l0_expand_islands(spark, sf):
+    c = table(spark, sf, "customer").select((F.col("c_custkey") * 7 % 9973).alias("min_key"), (F.col("c_custkey") * 7 % 9973 + F.col("c_nationkey") % 5).alias("max_key"))
+    return compaction.islands(c, "min_key", "max_key")
+
+
+@query(f"with {FILES} select min(min_key) as low, max(max_key) as high from files")
+def range_union(spark, sf):
+    return files(spark, sf).agg(F.min("min_key").alias("low"), F.max("max_key").alias("high"))
+
+
+@query(f"with {FILES}, r as (select *, row_number() over (partition by level order by max_key, num) as n from files where max_key >= 90 and level > 0) select num, level from files where level = 0 and min_key <= 90 and max_key >= 90 union all select num, level from r where n = 1 and min_key <= 90")
+def candidate_walk(spark, sf):
+    w = Window.partitionBy("level").orderBy("max_key", "num")
+    f = files(spark, sf)
+    # files of one level have distinct greatest keys in a real version; here ties go to the lower number
+    single = f.where("level > 0 and max_key >= 90").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return manifest.candidates(f.where("level = 0").unionByName(single), 90).select("num", "level")
+
+
+@query("with f as (select o_orderkey // 100 as num, max(o_orderkey) as max_key from orders group by 1) select num, max_key from f where max_key >= 777 order by max_key limit 1")
+def array_indexer(spark, sf):
+    f = table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 100).alias("num")).agg(F.max("o_orderkey").alias("max_key"))
+    return manifest.first_reaching(f, 777)
+
+
+@query(f"with {EDITS}, l as (select *, row_number() over (partition by step, level, num order by ord desc) as n, max(case when action = 'add' then 1 else 0 end) over (partition by step, level, num) as added from edits) select step, ord, action, level, num from l where n = 1 and not (action = 'del' and added = 1)")
+def edit_netting(spark, sf):
+    return manifest.netted(edits(spark, sf)).select("step", "ord", "action", "level", "num")
+
+
+@query(f"with {EDITS}, l as (select *, row_number() over (partition by level, num order by step desc, ord desc) as n from edits) select level, num from l where n = 1 and action = 'add'")
+def manifest_fold(spark, sf):
+    return manifest.folded(edits(spark, sf)).select("level", "num")
+
+
+@query(f"with {EDITS}, l as (select *, row_number() over (partition by level, num order by step desc, ord desc) as n from edits where step <= 30) select level, num from l where n = 1 and action = 'add'")
+def manifest_at_version(spark, sf):
+    return manifest.folded(edits(spark, sf), 30).select("level", "num")
+
+
+@query(f"with {EDITS} select max_by(size, ord) filter (action = 'add') as size, max_by(num, ord) as num from edits")
+def manifest_scalars(spark, sf):
+    e = edits(spark, sf).withColumn("size", F.when(F.col("action") == "add", F.col("size")))
+    return manifest.scalars(e, ["size", "num"])
+
+
+@query("with o as (select distinct o_custkey as num from orders where o_orderkey <= 600), n as (select distinct o_custkey as num from orders where o_orderkey > 300 and o_orderkey <= 900) select 'add' as action, num from (select num from n except select num from o) union all select 'del' as action, num from (select num from o except select num from n)")
+def version_delta(spark, sf):
+    o = table(spark, sf, "orders")
+    old = o.where("o_orderkey <= 600").select(F.col("o_custkey").alias("num")).distinct()
+    new = o.where("o_orderkey > 300 and o_orderkey <= 900").select(F.col("o_custkey").alias("num")).distinct()
+    return manifest.delta(old, new)
+
+
+def versions(spark, sf):
+    return table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 50).alias("version")).agg(F.collect_set("o_custkey").alias("nums"))
+
+
+@query("select c_custkey as num from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderkey % 50 in (select n_nationkey from nation where n_regionkey < 3))")
+def orphan_files(spark, sf):
+    pinned = table(spark, sf, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").cast("long").alias("version"))
+    return manifest.orphans(table(spark, sf, "customer").select(F.col("c_custkey").alias("num")), versions(spark, sf), pinned)
+
+
+@query("select o_custkey as num, count(distinct o_orderkey % 50) as refs from orders group by 1")
+def reference_counts(spark, sf):
+    return manifest.reference_counts(versions(spark, sf))
+
+
+@query("select event_id, 100 + row_number() over (order by event_id) as num from events where event_type = 'signup'")
+def file_numbers(spark, sf):
+    return reads.assign_sequence(table(spark, sf, "events").where("event_type = 'signup'").select("event_id"), ["event_id"], 100, name="num")
+
+
+@query("with f as (select o_orderkey as num, case o_orderkey % 4 when 0 then 'MANIFEST-' || lpad(o_orderkey::varchar, greatest(6, length(o_orderkey::varchar))::integer, '0') when 1 then lpad(o_orderkey::varchar, greatest(6, length(o_orderkey::varchar))::integer, '0') || '.log' when 2 then lpad(o_orderkey::varchar, greatest(6, length(o_orderkey::varchar))::integer, '0') || '.ldb' else 'other' end as name from orders) select name, case num % 4 when 0 then 'manifest' when 1 then 'journal' when 2 then 'table' end as kind, case when num % 4 < 3 then num end as num from f")
+def file_names(spark, sf):
+    n = F.col("o_orderkey")
+    digits = F.lpad(n.cast("string"), F.greatest(F.lit(6), F.length(n.cast("string"))), F.lit("0"))
+    name = F.when(n % 4 == 0, F.concat(F.lit("MANIFEST-"), digits)).when(n % 4 == 1, F.concat(digits, F.lit(".log"))).when(n % 4 == 2, F.concat(digits, F.lit(".ldb"))).otherwise("other")
+    kind = F.when(F.col("name").rlike(r"^MANIFEST-\d+$"), "manifest").when(F.col("name").rlike(r"^\d+\.log$"), "journal").when(F.col("name").rlike(r"^\d+\.ldb$"), "table")
+    number = F.regexp_extract("name", r"^(?:MANIFEST-)?(\d+)(?:\.log|\.ldb|\.temp)?$", 1)
+    return table(spark, sf, "orders").select(name.alias("name")).select("name", kind.alias("kind"), F.when(number != "", number.cast("long")).alias("num"))
+
+
+@query("select max(o_orderkey) as number from orders where o_orderstatus <> 'F' and o_orderpriority like '1%'")
+def current_pointer(spark, sf):
+    return table(spark, sf, "orders").where("o_orderstatus <> 'F' and o_orderpriority like '1%'").agg(F.max("o_orderkey").alias("number"))
+
+
+@query("with c as (select o_custkey as k, count(*) as n from orders group by 1) select k, case when n >= 12 then 'rotate' when n >= 8 then 'slow' else 'go' end as state from c")
+def write_back_pressure(spark, sf):
+    n = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return n.select("k", F.when(F.col("n") >= Options().l0_pause, "rotate").when(F.col("n") >= Options().l0_slowdown, "slow").otherwise("go").alias("state"))
+
+
+# ---- keys, filters, codecs
+
+
+@query("with v as (select user_id, event_id, case when event_type = 'error' then 2 else 1 end as kt from events) select event_id, upper(hex('u' || user_id)) || (select string_agg(substr(printf('%016X', event_id * 256 + kt), 17 - 2 * i, 2), '' order by i) from range(1, 9) t(i)) as packed from v")
+def internal_keys(spark, sf):
+    e = table(spark, sf, "events").withColumn("kt", kt()).withColumn("key", F.concat(F.lit("u"), F.col("user_id").cast("string")).cast("binary"))
+    return e.select("event_id", F.hex(keys.internal_key(F.col("key"), F.col("event_id"), F.col("kt"))).alias("packed"))
+
+
+@query("select event_id, 'u' || user_id as ukey, event_id as seq, case when event_type = 'error' then 2 else 1 end as kt from events")
+def internal_keys_parsed(spark, sf):
+    e = table(spark, sf, "events").withColumn("key", F.concat(F.lit("u"), F.col("user_id").cast("string")).cast("binary"))
+    p = e.select("event_id", keys.internal_parts(keys.internal_key(F.col("key"), F.col("event_id"), kt())).alias("p"))
+    return p.select("event_id", F.col("p.ukey").cast("string").alias("ukey"), F.col("p.seq").alias("seq"), F.col("p.kt").cast("int").alias("kt"))
+
+
+@query("select n, o_orderkey from (select row_number() over (order by o_orderkey - 500) as n, o_orderkey - 500 as o_orderkey from orders) where n <= 40")
+def ordered_encoding(spark, sf):
+    rows = table(spark, sf, "orders").select(keys.ordered_long(F.col("o_orderkey") - 500).alias("enc")).orderBy("enc").limit(40)
+    return rows.select(F.row_number().over(Window.orderBy("enc")).alias("n"), keys.ordered_long_back(F.col("enc")).alias("o_orderkey"))
+
+
+@query("select c_custkey, list_reduce(list_prepend(cast(2166136261 as ubigint), list_transform(range(1, length(c_name) + 1), lambda i: cast(ascii(substr(c_name, i, 1)) as ubigint))), lambda h, b: xor((h * 16777619) & 4294967295, b))::bigint as hash from customer")
+def bloom_hash(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", bloom.fnv1_column(F.col("c_name").cast("binary")).alias("hash"))
+
+
+FNV = "list_reduce(list_prepend(cast(2166136261 as ubigint), list_transform(range(1, length(c_name) + 1), lambda i: cast(ascii(substr(c_name, i, 1)) as ubigint))), lambda h, b: xor((h * 16777619) & 4294967295, b))"
+
+
+@query(f"with k as (select distinct c_nationkey as g, c_name, {FNV} as h from customer), n as (select g, greatest(64, (count(*) * 10 + 7) // 8 * 8) as bits from k group by g), p as (select k.g, n.bits, ((h + i * ((h >> 17) | ((h << 15) & 4294967295))) & 4294967295) % n.bits as bit from k join n using (g), range(0, 7) t(i)) select g, cast(bits as bigint) as n_bits, count(distinct bit) as n_set, cast(sum(distinct bit) as bigint) as bit_sum from p group by g, bits")
+def bloom_build(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_name").cast("binary").alias("key"))
+    f = bloom.build_bits(c, "g", "key")
+    return f.select("g", "n_bits", F.size("bits").cast("long").alias("n_set"), F.aggregate("bits", F.lit(0).cast("long"), lambda a, b: a + b).alias("bit_sum"))
+
+
+@query("select c_custkey, true as maybe from customer")
+def bloom_probe(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("g"), F.col("c_name").cast("binary").alias("key"))
+    return bloom.may_hold(bloom.build_bits(c, "g", "key"), c, "g", "key").select("c_custkey", "maybe")
+
+
+@query("select 'u' || user_id as ukey, event_id as seq, case when event_type = 'error' then 2 else 1 end as kt, case when event_type <> 'error' then event_type end as value from events")
+def journal_round_trip(spark, sf):
+    e = table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).cast("binary").alias("ukey"), F.col("event_id").alias("seq"), kt().cast("byte").alias("kt"), F.when(F.col("event_type") != "error", F.col("event_type")).cast("binary").alias("value"))
+    back = journal.decode_rows(journal.encode_rows(e))
+    return back.select(F.col("ukey").cast("string").alias("ukey"), "seq", F.col("kt").cast("int").alias("kt"), F.col("value").cast("string").alias("value"))
+
+
+# ---- the store, end to end
+
+
+def changes(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).cast("binary").alias("ukey"), kt().cast("byte").alias("kt"), F.when(F.col("event_type") != "error", F.col("value").cast("string")).cast("binary").alias("value"), "event_id")
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("ukey").cast("string").alias("ukey"), (F.col("seq") - 1).alias("event_id"), F.col("value").cast("string").cast("double").alias("value"))
+
+
+LIVE = "select 'u' || user_id as ukey, max(event_id) as event_id, max_by(value, event_id) as value from events group by user_id having max_by(event_type, event_id) <> 'error'"
+
+
+@query(LIVE)
+def store_scan_after_compaction(spark, sf):
+    """Four bulk writes, each a table set of level 0, then compaction into level 1, then a scan."""
+    store = Store.open(spark, shared_dir(spark, "store"), Options(l0_pause=4))
+    rows = changes(spark, sf)
+    top = rows.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0] + 1
+    for i in range(4):
+        store.bulk_write(rows.where((F.col("event_id") >= top * i // 4) & (F.col("event_id") < top * (i + 1) // 4)), ["event_id"])
+    store.compact()
+    return shown(store.scan())
+
+
+@query("with v as (select * from events where user_id in (3, 5, 8)) select 'u' || user_id as ukey, max(event_id) as event_id, max_by(value, event_id) as value from v group by user_id having max_by(event_type, event_id) <> 'error'")
+def store_multi_get(spark, sf):
+    store = Store.open(spark, shared_dir(spark, "store"))
+    store.bulk_write(changes(spark, sf), ["event_id"])
+    asked = spark.range(1).select(F.explode(F.array(F.lit("u3"), F.lit("u5"), F.lit("u8"))).alias("ukey")).select(F.col("ukey").cast("binary").alias("ukey"))
+    return shown(store.multi_get(asked, how="inner"))
+
+
+@query(LIVE)
+def stream_ingest(spark, sf):
+    """The history as a stream of micro-batches into the store."""
+    path = f"{sf}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/events.parque[t]")  # a pattern: the table may be one file
+    kind = kt().cast("byte").alias("kt")
+    rows = stream.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).cast("binary").alias("ukey"), kind, F.when(F.col("event_type") != "error", F.col("value").cast("string")).cast("binary").alias("value"), "event_id")
+    store = Store.open(spark, shared_dir(spark, "store"))
+    ingest.ingest(rows, store, ["event_id"], shared_dir(spark, "stream")).awaitTermination()
+    return shown(store.scan())
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
