@@ -94,3 +94,8 @@ def test_whole_table_against_brute_force(spark):
     want = slow(docs, items)
     assert sorted(map(tuple, got)) == sorted(want) and 0 < sum(w[-1] for w in want) < len(want)
     assert np.all([w[2] <= w[1] for w in want])
+
+
+def test_digests_over_several_query_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D.scan, "__defaults__", ("item_id", "text", 2, False))
+    test_edges(spark, monkeypatch)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_limits
+from tidemark.llm.common import arrow_limits, tidy
 
 # Fixed value: the pattern that cuts text into pieces before the merges of this family of vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -37,7 +37,7 @@ def byte_names() -> dict[str, int]:
 class ByteBPE:
     """Encoder and decoder of a byte-level vocabulary file. Ranks number the bytes first, then the merges in order."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 120_000):
         import ahocorasick
         import regex
 
@@ -68,8 +68,9 @@ class ByteBPE:
         self.automaton.make_automaton()
         self.cut = regex.compile(PIECES)
         self.at_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.stable: dict[tuple[int, int], bool] = {}
-        self.limit, self.known = limit, {}
+        self.stable: dict[int, bool] = {}
+        # pieces already encoded, in two generations of at most limit: what is still met moves to the young one
+        self.limit, self.known, self.old = limit, {}, {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Do the merges leave token a followed by token b as they are?
@@ -112,7 +113,7 @@ class ByteBPE:
             before = last[end - n]
             if before < 0:
                 continue
-            key = (before, token)
+            key = before << 20 | token
             ok = stable.get(key)
             if ok is None:
                 ok = stable[key] = self.compatible(before, token)
@@ -138,13 +139,14 @@ class ByteBPE:
         except KeyError:
             pass
         if len(known) > self.limit:
-            known.clear()
-        if len(self.stable) > 4 * self.limit:
+            known, self.old = {}, known
+            self.known = known
+        if len(self.stable) > 2 * self.limit:
             self.stable.clear()
-        ids = self.id
+        ids, old = self.id, self.old
         for p in pieces:
             if p not in known:
-                known[p] = np.array([ids[r] for r in self.piece(p.encode().decode("latin-1"))], "<u4").tobytes()
+                known[p] = old.get(p) or np.array([ids[r] for r in self.piece(p.encode().decode("latin-1"))], "<u4").tobytes()
         return b"".join(map(known.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
@@ -179,7 +181,7 @@ def encode_table(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Da
             cols = [*b.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(tidy(run), schema)
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
@@ -201,4 +203,4 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
             cols = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids])]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

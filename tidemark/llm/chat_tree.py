@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_limits, batches, written
+from tidemark.llm.common import arrow_limits, batches, tidy, written
 
 # The template.
 OPEN, BETWEEN, CLOSE = "### ", ": ", "</turn>\n"
@@ -74,7 +74,7 @@ def keyed(rows: DataFrame) -> DataFrame:
 
         yield from batches(out(), schema, 2048)
 
-    return made.mapInArrow(run, "conv_id long, idx long, node binary, segment string, n long, loss_lo int, loss_hi int, pos long, path binary")
+    return made.mapInArrow(tidy(run), "conv_id long, idx long, node binary, segment string, n long, loss_lo int, loss_hi int, pos long, path binary")
 
 
 def ancestors(rows: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def ancestors(rows: DataFrame) -> DataFrame:
 
         yield from batches(out(), pa.schema([("start", pa.int64()), ("ancestors", interval)]), 2048)
 
-    return rows.mapInArrow(run, "start long, ancestors array<struct<start:long,end:long>>")
+    return rows.mapInArrow(tidy(run), "start long, ancestors array<struct<start:long,end:long>>")
 
 
 def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -161,7 +161,7 @@ def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:
 
         yield from batches(out(), schema)
 
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op1_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,29 @@ def flat_bytes(column: pa.Array) -> tuple[memoryview, list[int]]:
     return memoryview(data) if data is not None else memoryview(b""), starts
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: Python workers live on and share an executor's limit."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(run):
+    """A function for mapInArrow that releases memory when its partition is done."""
+
+    def tidied(blocks):
+        try:
+            yield from run(blocks)
+        finally:
+            release()
+
+    return tidied
+
+
 def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
     """Record batches of at most size rows from tuples."""
     held: list[tuple] = []

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_limits, as_bytes, batches, work_dir
+from tidemark.llm.common import arrow_limits, as_bytes, batches, tidy, work_dir
 
 #: Bytes outside words become spaces, A-Z become a-z; bytes of characters beyond ASCII are word bytes.
 FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 CHUNK = 1 << 20
-SEGMENT_BYTES = 12 << 20
+SEGMENT_BYTES = 6 << 20
 QUERY_WINDOWS = 100_000
 
 
@@ -192,7 +192,7 @@ def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         if ids:
             yield flush()
 
-    docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, INDEX).write.option("compression", "lz4_raw").parquet(path)
+    docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(tidy(run), INDEX).write.option("compression", "lz4_raw").parquet(path)
 
 
 def segments(blocks: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list, list, Segment]]:
@@ -218,21 +218,38 @@ def query_blocks(items: DataFrame, width: int, id_col: str, text_col: str, limit
     yield block
 
 
-def scan(spark: SparkSession, path: str, items: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text", limit: int = QUERY_WINDOWS) -> DataFrame:
-    """One row a document: doc_id, crc (of its text), n_words, hits (array of first word and number of words), items (array)."""
+def n_covered(hits: list[dict]) -> int:
+    """How many words the hits cover."""
+    end = total = 0
+    for h in sorted(hits, key=lambda h: h["first"]):
+        stop = h["first"] + h["n"]
+        total += max(0, stop - max(end, h["first"]))
+        end = max(end, stop)
+    return total
+
+
+HITS = "seg string, nr int, doc_id long, crc long, n_words long, hits array<struct<first:int,n:int>>, items array<string>"
+HITS_ARROW = pa.schema([("seg", pa.string()), ("nr", pa.int32()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))), ("items", pa.list_(pa.string()))])
+DIGEST = "doc_id long, crc long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+DIGEST_ARROW = pa.schema([("doc_id", pa.int64()), ("crc", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
+
+
+def digest(seg: str, nr: int, doc_id: int, crc: int, n_words: int, hits: list[dict], items: list[str]) -> tuple:
+    n = n_covered(hits)
+    return doc_id, crc, n_words, n, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n > 0
+
+
+def scan(spark: SparkSession, path: str, items: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text", limit: int = QUERY_WINDOWS, digests: bool = False) -> DataFrame:
+    """One row a document: doc_id, crc (of its text), n_words, hits (array of first word and number of words), items (array);
+    or, with digests, the columns of contamination()."""
     arrow_limits(spark)
-    result = None
-    schema = "seg string, nr int, doc_id long, crc long, n_words long, hits array<struct<first:int,n:int>>, items array<string>"
-    arrow = pa.schema([("seg", pa.string()), ("nr", pa.int32()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))), ("items", pa.list_(pa.string()))])
     table = spark.read.schema(INDEX).parquet(path)
-    n_blocks = 0
-    for block in query_blocks(items, width, id_col, text_col, limit):
-        if n_blocks and not block:
-            break
-        n_blocks += 1
+    parts: list[DataFrame] = []
+
+    def look_up(block: dict[tuple[bytes, ...], list[str]], at_once: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(list(block.items()))
 
-        def run(blocks: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[tuple]:
                 for name, ids, crcs, seg in segments(blocks):
                     hits: dict[int, list] = {}
@@ -245,16 +262,34 @@ def scan(spark: SparkSession, path: str, items: DataFrame, width: int, id_col: s
                                 of.setdefault(d, set()).update(names)
                     sizes = np.diff(np.append(seg.firsts, seg.n_words)).tolist()
                     for d, (key, crc, n) in enumerate(zip(ids, crcs, sizes, strict=True)):
-                        yield name, d, key, crc, n, hits.get(d, []), sorted(of.get(d, ()))
-
-            yield from batches(rows(), arrow, 2048)
-
-        part = table.mapInArrow(run, schema)
-        result = part if result is None else result.unionByName(part)
-    if n_blocks > 1:
+                        row = (name, d, key, crc, n, hits.get(d, []), sorted(of.get(d, ())))
+                        yield digest(*row) if at_once else row
+
+            yield from batches(rows(), DIGEST_ARROW if at_once else HITS_ARROW, 2048)
+
+        return table.mapInArrow(tidy(run), DIGEST if at_once else HITS)
+
+    blocks = query_blocks(items, width, id_col, text_col, limit)
+    now, after = next(blocks), next(blocks, None)
+    if not after and digests:
+        return look_up(now, True)
+    parts.append(look_up(now, False))
+    while after:
+        parts.append(look_up(after, False))
+        after = next(blocks, None)
+    result = parts[0]
+    if len(parts) > 1:
+        for part in parts[1:]:
+            result = result.unionByName(part)
         # a document's rows of the blocks meet
         result = result.groupBy("seg", "nr", "doc_id", "crc", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return result.drop("seg", "nr")
+    if not digests:
+        return result.drop("seg", "nr")
+
+    def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches((digest(*r) for b in rows for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), DIGEST_ARROW, 2048)
+
+    return result.select(*HITS_ARROW.names).mapInArrow(tidy(finish), DIGEST)
 
 
 def near_matches(spark: SparkSession, path: str, queries: list[list[str]], span: int) -> DataFrame:
@@ -273,7 +308,7 @@ def near_matches(spark: SparkSession, path: str, queries: list[list[str]], span:
         yield from batches(rows(), arrow)
 
     arrow_limits(spark)
-    return spark.read.schema(INDEX).parquet(path).mapInArrow(run, "query int, doc_id long, first int, last int")
+    return spark.read.schema(INDEX).parquet(path).mapInArrow(tidy(run), "query int, doc_id long, first int, last int")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
@@ -286,25 +321,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     spark = docs.sparkSession
     path = work_dir(spark, "postings")
     write_index(docs, path)
-    found = scan(spark, path, items, width)
-    names = ["doc_id", "crc", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-
-    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks:
-            n_hit = []
-            for hits in b.column(3).to_pylist():
-                end = total = 0
-                for h in sorted(hits, key=lambda h: h["first"]):
-                    stop = h["first"] + h["n"]
-                    total += max(0, stop - max(end, h["first"]))
-                    end = max(end, stop)
-                n_hit.append(total)
-            items_of = b.column(4).to_pylist()
-            digests = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items_of]
-            cols = [b.column(0), b.column(1), b.column(2), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items_of], pa.int64()), pa.array(digests), pa.array([n > 0 for n in n_hit])]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return found.mapInArrow(run, "doc_id long, crc long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return scan(spark, path, items, width, digests=True)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_limits, as_bytes
+from tidemark.llm.common import arrow_limits, as_bytes, tidy
 
 #: Byte classes: each lower-case letter and mark, capitals, digits, space, line end, other white space and controls, UTF-8 lead and continuation bytes.
 _singles = string.ascii_lowercase + string.punctuation + " \n"
@@ -105,7 +105,7 @@ def term_rows(docs: DataFrame) -> DataFrame:
                 rows.append(at.tobytes() + v[at].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["doc_id", "terms"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, terms binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, terms binary")
 
 
 def in_fold(column) -> F.Column:
@@ -156,7 +156,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 out.append(shared.value.scores(np.stack([terms(t) for t in texts[k : k + BLOCK]])))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=schema.names)
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(tidy(run), schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_limits, as_bytes, written
+from tidemark.llm.common import arrow_limits, as_bytes, tidy, written
 from tidemark.llm.components import components
 
 CHUNK = 1 << 15
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, width) for t in as_bytes(b.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "rk", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("rk")).mapInArrow(run, "doc_id long, rk long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("rk")).mapInArrow(tidy(run), "doc_id long, rk long, fp long")
 
 
 def _segment(fp: Column, k: int) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_limits, as_bytes, batches, written
+from tidemark.llm.common import arrow_limits, as_bytes, batches, tidy, written
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -200,7 +200,7 @@ def anchor_rows(base: DataFrame, width: int, gram: int) -> DataFrame:
                 part = slice(k, k + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(h[part].view(np.int64)), pa.array(seg[part].view(np.int64)), pa.array(first[part].astype(np.int32)), pa.array(n[part].astype(np.int32))], names=names)
 
-    return base.select("rk", "text").mapInArrow(run, "rk long, h long, fp long, first int, n int")
+    return base.select("rk", "text").mapInArrow(tidy(run), "rk long, h long, fp long, first int, n int")
 
 
 def cut_segments(rows: DataFrame, width: int) -> DataFrame:
@@ -216,7 +216,7 @@ def cut_segments(rows: DataFrame, width: int) -> DataFrame:
 
         yield from batches(out(), schema)
 
-    return rows.select("text", "want").mapInArrow(run, "h long, fp long, m long, block int, blocks int, n int, data binary")
+    return rows.select("text", "want").mapInArrow(tidy(run), "h long, fp long, m long, block int, blocks int, n int, data binary")
 
 
 def sorted_segments(segs: DataFrame, width: int) -> DataFrame:
@@ -258,7 +258,7 @@ def sorted_segments(segs: DataFrame, width: int) -> DataFrame:
 
         yield from batches(out(), schema)
 
-    return segs.mapInArrow(run, "h long, fp long, m long, lo int, hi int, block int, hash long")
+    return segs.mapInArrow(tidy(run), "h long, fp long, m long, lo int, hi int, block int, hash long")
 
 
 def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int | None = None) -> DataFrame:
@@ -324,7 +324,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH,
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string() if as_text else pa.binary()], strict=True)]], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

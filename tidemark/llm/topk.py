@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_limits, work_dir
+from tidemark.llm.common import arrow_limits, tidy, work_dir
 
 CELLS = 16
 QUERY_BLOCK = 4096  # queries broadcast at once
@@ -69,7 +69,7 @@ def write_file(vectors: DataFrame, path: str) -> None:
                     cells[r] = c.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary()), b.column(1)], names=["id", "cells", "v"])
 
-    vectors.mapInArrow(run, "id long, cells binary, v array<long>").write.parquet(path)
+    vectors.mapInArrow(tidy(run), "id long, cells binary, v array<long>").write.parquet(path)
 
 
 def read_bounds(spark: SparkSession, path: str) -> dict[int, np.ndarray]:
@@ -178,7 +178,7 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id
                 flat = [(query, key, -score) for query, found in held.items() for score, key in found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat, strict=True)], names=["query_id", "vec_id", "score"])
 
-        results.append(file.mapInArrow(run, "query_id long, vec_id long, score long"))
+        results.append(file.mapInArrow(tidy(run), "query_id long, vec_id long, score long"))
 
     for r in spark.read.schema("id long, v array<long>").parquet(q_path).toLocalIterator():
         block.append(r)
