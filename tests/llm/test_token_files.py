@@ -61,3 +61,21 @@ def test_whole_table_against_the_library(spark):
         ids = np.array([*lib.encode(r["text"], add_special_tokens=False).ids, 2], "<u4")
         assert got[r["doc_id"]] == (run, len(ids), zlib.crc32(ids.tobytes()))
         run += len(ids)
+
+
+def test_random_texts_with_a_small_cache():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.token_files import WordCache
+
+    lib, cache, pick = Tokenizer.from_file(PATH), WordCache(PATH, limit=60), random.Random(9)
+    kinds = ["abcXYZ", "aé̌ßΣİJ", "ab.,", "a1'st", "-_!?$#", "\x1c\x85\xa0 a", "漢字🎉"]
+    for _ in range(60):
+        texts = []
+        for _ in range(pick.randrange(1, 6)):
+            words = ["".join(pick.choices(pick.choice(kinds), k=pick.choice([1, 2, 3, 8, 9, 15, 16, 17, 40]))) + pick.choice(["", ".", ",", "..", "<|endoftext|>", "<|"]) * (pick.random() < 0.3) for _ in range(pick.randrange(30))]
+            texts.append(pick.choice([None, "", " ", "x"]) if not words else "".join(w + pick.choice([" ", "\n", "\t ", "\r\n"]) for w in words))
+        for t, ids in zip(texts, cache.encode([t if t is None else t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t or "", add_special_tokens=False).ids, t

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_limits, as_bytes, work_dir
+from tidemark.llm.common import arrow_limits, as_bytes, tidy, work_dir
 
 MAGIC = b"EFT1"
 HEADER = struct.Struct("<4sBBxxIQQII")  # magic, bytes an id, low bits, documents, ids, bytes of low part, words of high part, samples
 SAMPLE = 256
-TAIL = re.compile(rb"(?<=[a-z])[.,](?= )")
+SPACES = bytes(0x20 if b in b" \t\n\r\x0b\x0c" else b for b in range(256))
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -120,14 +120,16 @@ class Container:
 
 
 class WordCache:
-    """ids (as bytes) of pieces between ASCII white space, each encoded once by the library.
+    """Token ids of pieces between ASCII white space, each encoded once by the library.
 
     The normalizer and the pre-tokenizer of a vocabulary that drops white space never join text across it, so a text's
-    ids are those of its pieces in order. New pieces go to the library in long lines, parted by a special token, whose
-    id then parts the ids. The cache has two generations of at most `limit` pieces: pieces in use move to the young one.
+    ids are those of its pieces in order. A batch of texts is cut into pieces as arrays; pieces of up to 16 bytes are
+    two 64-bit numbers, which makes finding the different ones and those already known exact and cheap. New pieces go to
+    the library in long lines; longer pieces and those with special tokens are kept in a dictionary. When more than
+    `limit` pieces are known, those met least recently go.
     """
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -141,61 +143,144 @@ class WordCache:
         self.word_end = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         if suffix:
             self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-        self.limit, self.known, self.old = limit, {}, {}
+        self.limit, self.now = limit, 0
+        self.clear()
+
+    def clear(self) -> None:
+        """h: hash, in order; a, b, n: the piece; start, count: its place in the pool of ids; used: the last batch with it."""
+        self.h, self.a, self.b = (np.zeros(0, np.uint64) for _ in range(3))
+        self.n, self.start, self.count, self.used = (np.zeros(0, np.int64) for _ in range(4))
+        self.pool, self.long = np.zeros(0, np.uint32), {}
+        (self.dot, self.comma), _ = self.encode_new([b".", b","])
 
     def ids_of(self, line: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([line.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
-
-    def encode_new(self, words: list[bytes]) -> None:
-        """words in lines: those of ASCII letters alone end at the one token with the end-of-word mark."""
-        simple = [w for w in words if w.isalpha()] if self.word_end.any() else []
-        other = [w for w in words if not w.isalpha()] if simple else words
-        for words_now, gap, marks in ((simple, b" ", True), (other, self.part, False)):
-            for k in range(0, len(words_now), 512):
-                line = words_now[k : k + 512]
-                ids = self.ids_of(gap.join(line))
-                raw = ids.tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([line.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+
+    def encode_new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(start, count) in the pool of each word; none has a special token. Words of ASCII letters alone, lower-cased,
+        end at the one token with the end-of-word mark; others are parted by a special token."""
+        start, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        simple = [i for i, w in enumerate(words) if w.isalpha()] if self.word_end.any() else []
+        other = [i for i, w in enumerate(words) if not w.isalpha()] if simple else list(range(len(words)))
+        end, made = len(self.pool), [self.pool]
+        for places, gap, marks in ((simple, b" ", True), (other, self.part, False)):
+            for k in range(0, len(places), 512):
+                at = np.array(places[k : k + 512])
+                ids = self.ids_of(gap.join([words[i] for i in at.tolist()]))
                 cuts = np.flatnonzero(self.word_end[ids]) + 1 if marks else np.append(np.flatnonzero(ids == self.part_id), len(ids))
-                if len(cuts) != len(line):
+                if len(cuts) != len(at):
                     raise ValueError("the vocabulary does not part text as expected")
-                start = 0
-                for w, e in zip(line, (4 * cuts).tolist(), strict=True):
-                    self.known[w] = raw[start:e]
-                    start = e if marks else e + 4
-
-    def learn(self, missing: set[bytes]) -> None:
-        if len(self.known) > self.limit:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        again = old.keys() & missing
-        for w in again:
-            known[w] = old[w]
-        missing -= again
-        blob = b" ".join(missing)
-        if b"<|" in blob or any(s in blob for s in self.specials):
-            for w in [w for w in missing if b"<|" in w or any(s in w for s in self.specials)]:
-                known[w] = self.ids_of(w).tobytes()
-                missing.discard(w)
-        ascii_words = [w for w in missing if w.isascii()]
-        # the normalizer lower-cases; the pattern always cuts between a letter and one final stop or comma
-        base = TAIL.sub(b"", b" ".join(ascii_words).lower() + b" ").split(b" ")[:-1]
-        new = set(base).union((b".", b","), missing.difference(ascii_words))
-        self.encode_new(list(new.difference(known)))
-        for w, b in zip(ascii_words, base, strict=True):
-            if w != b:
-                known[w] = known[b] if len(w) == len(b) else known[b] + known[w[-1:]]
+                first = np.concatenate(([0], cuts[:-1] + (0 if marks else 1)))
+                start[at], count[at] = end + first, cuts - first
+                end += len(ids)
+                made.append(ids)
+        self.pool = np.concatenate(made)
+        return start, count
+
+    def forget(self) -> None:
+        """Keep the half met most recently; ids move together."""
+        keep = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+        fields = {k: getattr(self, k)[keep] for k in ("h", "a", "b", "n", "start", "count", "used")}
+        old = self.pool
+        self.clear()
+        ids = old[np.repeat(fields["start"] - np.cumsum(fields["count"]) + fields["count"], fields["count"]) + np.arange(int(fields["count"].sum()))]
+        fields["start"] = np.cumsum(fields["count"]) - fields["count"] + len(self.pool)
+        self.pool = np.concatenate((self.pool, ids))
+        for k, v in fields.items():
+            setattr(self, k, v)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        pieces = [t.split() if t else [] for t in texts]
-        missing: set[bytes] = set()
-        for p in pieces:
-            missing.update(p)
-        if missing := missing.difference(self.known):
-            if len(self.known) > self.limit:
-                missing.update(*pieces)
-            self.learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        if not texts:
+            return []
+        self.now += 1
+        if len(self.h) > self.limit or len(self.long) > self.limit // 8:
+            self.forget()
+        sizes = np.array([len(t) + 1 if t else 1 for t in texts])
+        joined = b" ".join([t or b"" for t in texts]).translate(SPACES) + b" "
+        raw = np.frombuffer(joined + bytes(16), np.uint8)
+        blank = np.frombuffer(joined, np.uint8) == 0x20
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        if len(blank) and not blank[0]:
+            edge = np.concatenate(([0], edge))
+        starts, ends = edge[::2], edge[1::2]
+        canon, plain = raw.copy(), np.ones(len(starts), bool)
+        high = np.flatnonzero(raw >= 128)
+        plain[np.searchsorted(starts, high, "right") - 1] = False
+        special = np.zeros(len(starts), bool)
+        if b"<|" in joined or any(t in joined for t in self.specials):
+            for i, (x, y) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+                special[i] = b"<|" in (w := joined[x:y]) or any(t in w for t in self.specials)
+            plain &= ~special
+        # the normalizer lower-cases; doing so before is the same for pieces of ASCII
+        upper = np.flatnonzero((raw >= 65) & (raw <= 90))
+        upper = upper[plain[np.searchsorted(starts, upper, "right") - 1]]
+        canon[upper] += 32
+        # the pattern always cuts between a letter and one final stop or comma
+        last, before = canon[ends - 1], canon[ends - 2]
+        tail = plain & (ends - starts > 1) & ((last == 46) | (last == 44)) & (before >= 97) & (before <= 122)
+        ends = ends - tail
+        n = ends - starts
+        start, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        short = np.flatnonzero((n <= 16) & ~special)
+        if len(short):
+            start[short], count[short] = self.look_up(canon, starts[short], n[short])
+        rest = np.flatnonzero((n > 16) | special)
+        pieces = [joined_canon[x:y] for x, y in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)] if len(rest) and (joined_canon := canon.tobytes()) else []
+        fresh = list(dict.fromkeys(w for w in pieces if w not in self.long))
+        alone = [w for w in fresh if any(t in w for t in self.specials)]
+        together = [w for w in fresh if w not in set(alone)] if alone else fresh
+        self.long.update(zip(together, zip(*(x.tolist() for x in self.encode_new(together)), strict=True), strict=True))
+        if alone:
+            made = [self.ids_of(w) for w in alone]
+            place = len(self.pool) + np.cumsum([0, *map(len, made)])
+            self.long.update(zip(alone, zip(place.tolist(), map(len, made), strict=False), strict=True))
+            self.pool = np.concatenate((self.pool, *made))
+        if pieces:
+            start[rest], count[rest] = np.array([self.long[w] for w in pieces]).T
+        first, many = np.zeros(2 * len(starts), np.int64), np.zeros(2 * len(starts), np.int64)
+        first[::2], many[::2] = start, count
+        first[1::2], many[1::2] = np.where(last == 46, self.dot, self.comma), tail
+        upto = np.cumsum(many)
+        ids = self.pool[np.repeat(first - upto + many, many) + np.arange(int(many.sum()))]
+        at = np.concatenate((np.searchsorted(starts, np.cumsum(sizes) - sizes), [len(starts)]))
+        cuts = (4 * np.concatenate(([0], upto))[2 * at]).tolist()
+        flat = ids.astype("<u4").tobytes()
+        return [flat[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+
+    def look_up(self, canon: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, count) in the pool for pieces of up to 16 bytes."""
+        words = np.ndarray((len(canon) - 7,), "<u8", canon, strides=(1,))
+        a, b = words[starts] & MASKS[np.minimum(n, 8)], words[np.minimum(starts + 8, len(words) - 1)] & MASKS[np.maximum(n - 8, 0)]
+        h = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) + n.astype(np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        low = (np.uint64(1) << np.uint64(max(1, len(h).bit_length()))) - np.uint64(1)
+        order = (np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
+        differ = lambda x: x[order[1:]] != x[order[:-1]]
+        new = differ(a) | differ(b) | differ(n)
+        if np.count_nonzero(new) != np.count_nonzero(differ(h & ~low)):  # pieces that the upper bits do not tell apart
+            order = np.lexsort((n, b, a))
+            new = differ(a) | differ(b) | differ(n)
+        new = np.concatenate(([True], new))
+        group = np.empty(len(h), np.int64)
+        group[order] = np.cumsum(new) - 1
+        one = order[new]
+        k = np.minimum(np.searchsorted(self.h, h[one]), max(0, len(self.h) - 1))
+        known = (self.h[k] == h[one]) & (self.a[k] == a[one]) & (self.b[k] == b[one]) & (self.n[k] == n[one]) if len(self.h) else np.zeros(len(one), bool)
+        start, count = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+        start[known], count[known] = self.start[k[known]], self.count[k[known]]
+        self.used[k[known]] = self.now
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            text = canon.tobytes()
+            places = one[fresh]
+            start[fresh], count[fresh] = self.encode_new([text[x:y] for x, y in zip(starts[places].tolist(), (starts[places] + n[places]).tolist(), strict=True)])
+            by_hash = np.argsort(h[places], kind="stable")
+            places, fresh = places[by_hash], fresh[by_hash]
+            where = np.searchsorted(self.h, h[places])
+            for name, values in (("h", h[places]), ("a", a[places]), ("b", b[places]), ("n", n[places]), ("start", start[fresh]), ("count", count[fresh]), ("used", np.full(len(fresh), self.now))):
+                setattr(self, name, np.insert(getattr(self, name), where, values))
+        return start[group], count[group]
 
 
 @lru_cache(maxsize=1)
@@ -213,7 +298,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
     null_ids, their number), n_ids and data.
     """
     spark = docs.sparkSession
-    arrow_limits(spark)
+    arrow_limits(spark, rows=2048, size="8m")
     schema = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("null_ids", pa.int32()), ("doc_ids", pa.binary()), ("n_ids", pa.int64()), ("data", pa.binary())])
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
@@ -244,7 +329,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
     ordered = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("k").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("k").asc_nulls_first(), F.xxhash64("t"), "t")
-    ordered.mapInArrow(pack, "part int, before long, null_ids int, doc_ids binary, n_ids long, data binary").write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(tidy(pack), "part int, before long, null_ids int, doc_ids binary, n_ids long, data binary").write.option("compression", "uncompressed").parquet(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
@@ -271,7 +356,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                 for i in range(0, len(ids), 4096):
                     yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 4096], f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return table.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return table.mapInArrow(tidy(unpack), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def op3_token_files(spark, sf_dir: str) -> DataFrame:
