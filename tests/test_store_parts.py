@@ -177,3 +177,17 @@ def test_planning():
 
 def test_crc_is_the_usual_one():
     assert zlib.crc32(b"123456789") == 0xCBF43926
+
+
+def test_replay_of_files(spark, tmp_path):
+    want = []
+    for n in range(3):
+        out = journal.Writer()
+        for b in range(2):
+            entries = [(PUT, b"k%d" % i, b"v" * i) for i in range(3)] + [(DELETE, b"k1", None)]
+            base = 1 + 8 * n + 4 * b
+            out.chunk(journal.encode_batch(base, entries))
+            want += [(base + i, *e) for i, e in enumerate(entries)]
+        (tmp_path / f"{n:06d}.log").write_bytes(bytes(out.data))
+    rows = journal.replay(spark, f"file://{tmp_path}", since=6).collect()
+    assert sorted((r.seq, r.kt, bytes(r.ukey), None if r.value is None else bytes(r.value)) for r in rows) == [w for w in want if w[0] >= 6]

@@ -488,6 +488,18 @@ def stream_ingest(spark, sf):
     return shown(store.scan())
 
 
+@query(f"with {V}, {NEWEST} select k, seq, val from newest where kt = 1")
+def stream_live_view(spark, sf):
+    """The newest versions as streaming state; the last micro-batch's view is what is read."""
+    path, out = f"{sf}/events.parquet", shared_dir(spark, "live")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/events.parque[t]")
+    rows = stream.select(F.col("user_id").alias("k"), F.col("event_id").alias("seq"), kt().alias("kt"), F.col("value").alias("val"))
+    view = ingest.live_view(rows, "k", "seq", "kt", ["val"])
+    sink = view.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+    sink.option("checkpointLocation", shared_dir(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return ingest.present(spark.read.parquet(out), "kt")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
