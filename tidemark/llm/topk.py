@@ -147,7 +147,8 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id
     edges = read_bounds(spark, path)
     file = spark.read.schema("id long, cells binary, v array<long>").parquet(path)
     arrow_limits(spark, rows=ROWS)
-    results = []
+    out = work_dir(spark, "va-results")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     block: list = []
 
     def flush() -> None:
@@ -158,7 +159,7 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id
         shared = spark.sparkContext.broadcast(packed)
         block.clear()
 
-        def run(blocks: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, list[tuple[int, int]]] = {}
             for b in blocks:
                 ids, codes = b.column(0).to_numpy(), b.column(1).to_pylist()
@@ -178,18 +179,18 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id
                 flat = [(query, key, -score) for query, found in held.items() for score, key in found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat, strict=True)], names=["query_id", "vec_id", "score"])
 
-        results.append(file.mapInArrow(tidy(run), "query_id long, vec_id long, score long"))
+        # a query is in one block, so its best are final; written at once, the plan stays small however many blocks there are
+        found = file.mapInArrow(tidy(run), "query_id long, vec_id long, score long").distinct()
+        best_k = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        best_k.write.mode("append").parquet(out)
+        shared.unpersist()
 
     for r in spark.read.schema("id long, v array<long>").parquet(q_path).toLocalIterator():
         block.append(r)
         if len(block) == QUERY_BLOCK:
             flush()
     flush()
-    found = results[0]
-    for more in results[1:]:
-        found = found.unionByName(more)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(out)
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
