@@ -131,3 +131,22 @@ def test_streaming_ingest(spark, tmp_path):
     for r in store.changes().orderBy("seq").collect():
         latest[bytes(r.ukey)] = None if r.kt == 2 else bytes(r.value)
     assert scan(store) == {k: v for k, v in latest.items() if v is not None}
+
+
+def test_as_of_reads(spark):
+    from tidemark.operators.reads import ChangeLog
+
+    pick = random.Random(5)
+    rows = [(pick.choice("abc"), s, pick.choice([PUT, PUT, DELETE]), s * 1.5) for s in pick.sample(range(1000), 150)]
+    probes = [(pick.choice("abcd"), pick.randrange(-50, 1100)) for _ in range(200)] + [("a", None), ("a", rows[0][1]), ("a", rows[0][1])]
+    log = ChangeLog(spark.createDataFrame(rows, "k string, seq long, kt int, val double"), ("k",))
+    want = []
+    for k, at in probes:
+        seen = [r for r in rows if r[0] == k and at is not None and r[1] <= at]
+        best = max(seen, key=lambda r: r[1], default=None)
+        want.append((k, at, *((best[1], best[3]) if best and best[2] == PUT else (None, None))))
+    for parts in (1, 7, 64):
+        got = log.as_of(spark.createDataFrame(probes, "k string, at long"), "at", parts).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    nothing = log.over(log.df.where("false")).as_of(spark.createDataFrame(probes, "k string, at long"), "at")
+    assert nothing.where("seq is not null").count() == 0 and nothing.count() == len(probes)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.reads import ChangeLog
 from tidemark.options import DELETE
 
 
@@ -17,10 +18,14 @@ def min_live(snapshots: DataFrame, current: int, seq: str = "seq") -> DataFrame:
     return snapshots.agg(F.coalesce(F.min(seq), F.lit(current)).alias("min_seq"))
 
 
-def drop_shadowed(rows: DataFrame, min_seq: int, key: str = "ukey", seq: str = "seq") -> DataFrame:
-    """Drop a version if the next newer one of its key is at or below min_seq: no live reader can see it."""
-    newer = F.lag(seq).over(Window.partitionBy(key).orderBy(F.col(seq).desc()))
-    return rows.withColumn("_newer", newer).where(F.col("_newer").isNull() | (F.col("_newer") > min_seq)).drop("_newer")
+def drop_shadowed(rows: DataFrame, min_seq: int, key: str = "ukey", seq: str = "seq", kind: str = "kt") -> DataFrame:
+    """Drop a version if the next newer one of its key is at or below min_seq: no live reader can see it.
+
+    Said without neighbours: all versions above min_seq stay, and of those at or below it the newest of each key. The first
+    part needs no shuffle, the second is a partial aggregate, so a key with very many versions is no single task.
+    """
+    old = ChangeLog(rows.where(F.col(seq) <= min_seq), (key,), seq, kind).newest()
+    return rows.where(F.col(seq) > min_seq).unionByName(old)
 
 
 def drop_tombstones(rows: DataFrame, min_seq: int, deeper: DataFrame | None = None, key: str = "ukey", seq: str = "seq", kind: str = "kt") -> DataFrame:
@@ -49,7 +54,7 @@ def islands(ranges: DataFrame, low: str, high: str) -> DataFrame:
 
 def compacted(rows: DataFrame, min_seq: int, deeper: DataFrame | None = None, key: str = "ukey", seq: str = "seq", kind: str = "kt") -> DataFrame:
     """Both rules. The input must hold every older version of its keys on its two levels."""
-    return drop_tombstones(drop_shadowed(rows, min_seq, key, seq), min_seq, deeper, key, seq, kind)
+    return drop_tombstones(drop_shadowed(rows, min_seq, key, seq, kind), min_seq, deeper, key, seq, kind)
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:

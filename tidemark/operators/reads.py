@@ -65,18 +65,32 @@ class ChangeLog:
         found = self.over(self.df.join(asked, list(self.key), "left_semi")).live(snapshot)
         return keys.join(found, list(self.key), how)
 
-    def as_of(self, probes: DataFrame, at: str) -> DataFrame:
-        """One read a probe (key, at): the version current at the probe's own snapshot; absent ones have nulls.
+    def as_of(self, probes: DataFrame, at: str, parts: int = 64) -> DataFrame:
+        """One read a probe row (key, at): the version current at the probe's own snapshot; absent ones have nulls.
 
-        An equi-join on the key with the sequence bound inside, then one partial aggregate a probe.
+        Versions and probes are laid side by side in (key, range of sequence numbers), where a window finds the last
+        version before each probe; what a range inherits comes from the last versions of the key's earlier ranges, at
+        most `parts` rows a key. Nothing is paired, and a key with very many versions or probes is spread over its ranges.
         """
-        p, v = probes.alias("p"), self.df.alias("v")
-        same = reduce(lambda a, b: a & b, [F.col(f"p.{c}") == F.col(f"v.{c}") for c in self.key])
-        hits = p.join(v, same & (F.col(f"v.{self.seq}") <= F.col(f"p.{at}")), "left")
-        keep = [self.seq, self.kind, *self.values]
-        rows = hits.groupBy(*[F.col(f"p.{c}").alias(c) for c in self.key], F.col(f"p.{at}").alias(at)).agg(F.max_by(F.struct(*[F.col(f"v.{c}").alias(c) for c in keep]), F.col(f"v.{self.seq}")).alias("_row"))
+        edge = self.df.agg(F.min(self.seq).alias("lo"), F.max(self.seq).alias("hi")).first()
+        lo, hi = edge["lo"] or 0, edge["hi"] or 0
+        width = -(-(hi - lo + 1) // parts)
+        place = lambda c: F.least(F.greatest(F.floor((F.col(c) - lo) / width), F.lit(-1)), F.lit(parts)).cast("int")
+        row = F.struct(self.seq, self.kind, *self.values)
+        versions = self.df.select(*self.key, F.col(self.seq).alias("_t"), place(self.seq).alias("_b"), row.alias("_row"), F.lit(None).cast(probes.schema[at].dataType).alias(at), F.lit(0).alias("_probe"))
+        empty = F.lit(None).cast(versions.schema["_row"].dataType).alias("_row")
+        asked = probes.select(*self.key, F.col(at).cast("long").alias("_t"), place(at).alias("_b"), empty, at, F.lit(1).alias("_probe"))
+        last = F.last("_row", ignorenulls=True)
+        inside = Window.partitionBy(*self.key, "_b").orderBy("_t", "_probe").rowsBetween(Window.unboundedPreceding, 0)
+        seen = versions.unionByName(asked).withColumn("_in", last.over(inside)).where("_probe = 1").select(*self.key, at, "_b", "_in")
+        ends = versions.groupBy(*self.key, "_b").agg(F.max_by("_row", "_t").alias("_row"))
+        earlier = Window.partitionBy(*self.key).orderBy("_b", "_probe").rowsBetween(Window.unboundedPreceding, 0)
+        # a range's own last version is not before its probes: probes of a range come first here
+        marks = ends.select(*self.key, "_b", "_row", F.lit(1).alias("_probe")).unionByName(seen.where("_in is null and _b is not null").select(*self.key, "_b").distinct().select(*self.key, "_b", empty, F.lit(0).alias("_probe")))
+        carried = marks.withColumn("_from", last.over(earlier)).where("_probe = 0").select(*self.key, "_b", "_from")
+        found = seen.join(carried, [*self.key, "_b"], "left").withColumn("_row", F.coalesce("_in", "_from"))
         there = F.col(f"_row.{self.kind}") == PUT
-        return rows.select(*self.key, at, *[F.when(there, F.col(f"_row.{c}")).alias(c) for c in (self.seq, *self.values)])
+        return found.select(*self.key, at, *[F.when(there, F.col(f"_row.{c}")).alias(c) for c in (self.seq, *self.values)])
 
     def find_ge(self, key, snapshot: int | None = None) -> DataFrame:
         """The least live key at or above `key`."""

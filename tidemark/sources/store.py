@@ -290,10 +290,8 @@ class Store:
         deeper = [(bytearray(f.min_key), bytearray(f.max_key)) for f in self.version.files if f.level > plan.level + 1]
         ranges = self.spark.createDataFrame(deeper, "min_key binary, max_key binary") if deeper else None
         parts = max(1, -(-sum(f.size for f in inputs) // self.options.table_size))
-        # range partitions by key alone: a key is never in two tables, and the window needs no further shuffle
-        rows = compacted(self._read(inputs).repartitionByRange(parts, "ukey"), keep, ranges)
-        if ranges is not None:
-            rows = rows.repartitionByRange(parts, "ukey")
+        # what stays goes to range partitions by key alone, so a key is never in two tables
+        rows = compacted(self._read(inputs), keep, ranges).repartitionByRange(parts, "ukey")
         files = self._tables(rows, plan.level + 1)
         self._commit(Edit(add=files, delete=[(f.level, f.num) for f in inputs], next_file=self.version.next_file + len(files), pointers={plan.level: max(f.max_key for f in plan.inputs)}))
 
