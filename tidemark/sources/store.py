@@ -23,7 +23,7 @@ from tidemark.errors import Closed, Conflict, Corrupted, NotFound, ReadOnly
 from tidemark.operators.compaction import compacted, min_live_snapshot
 from tidemark.operators.reads import ChangeLog, assign_sequence
 from tidemark.options import DELETE, PUT, Options
-from tidemark.plans.manifest import Compaction, Edit, File, Version, back_pressure, pick
+from tidemark.plans.manifest import Compaction, Edit, File, Version, back_pressure, hull, pick
 from tidemark.sources import journal
 from tidemark.workspace import Files
 
@@ -287,7 +287,8 @@ class Store:
             return
         inputs = [*plan.inputs, *plan.below]
         keep = min_live_snapshot(self.snapshots, self.seq)
-        deeper = [(bytearray(f.min_key), bytearray(f.max_key)) for f in self.version.files if f.level > plan.level + 1]
+        low, high = hull(inputs)
+        deeper = [(bytearray(f.min_key), bytearray(f.max_key)) for f in self.version.files if f.level > plan.level + 1 and f.meets(low, high)]
         ranges = self.spark.createDataFrame(deeper, "min_key binary, max_key binary") if deeper else None
         parts = max(1, -(-sum(f.size for f in inputs) // self.options.table_size))
         # what stays goes to range partitions by key alone, so a key is never in two tables
