@@ -264,15 +264,17 @@ def sorted_segments(segs: DataFrame, width: int) -> DataFrame:
 def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int | None = None) -> DataFrame:
     """(rk, text[, ...]) -> (rk, spans array<struct<lo, hi>>): byte ranges that repeated windows cover; not merged."""
     found = anchor_rows(base, width, gram)
-    # partial aggregates; an anchor in a third of all documents is one row a task
-    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("c > 1").select("h", (F.col("a") != F.col("b")).alias("mixed"))
-    counts = written(counts, "repeated-grams")  # a plain exchange on either side of the join lets a hot anchor be split
-    dup = written(found.join(counts, "h"), "repeated-anchors")
-    classes = dup.where("mixed").groupBy("h", "fp").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rk", "first", "n")).alias("one")).select("h", "fp", "m", "one.rk", "one.first", "one.n")
-    classes = written(classes, "segment-classes")
-    per = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("least")).where("least = 1")
+    # partial aggregates; an anchor or a segment in a third of all documents is one row a task
+    copies = written(found.groupBy("h", "fp").agg(F.count(F.lit(1)).alias("m")), "segment-counts")
+    per = copies.groupBy("h").agg(F.sum("m").alias("c"), F.count(F.lit(1)).alias("k"), F.min("m").alias("least")).where("c > 1")
+    # segments of anchors that occur twice; sort: some of its anchor's segments have no copy and differ from others
+    known = copies.join(per, "h").select("h", "fp", "m", "k", ((F.col("k") > 1) & (F.col("least") == 1)).alias("sort"))
+    known = written(known, "repeated-segments")  # a plain exchange on either side of the join lets a hot segment be split
+    dup = written(found.join(known, ["h", "fp"]), "repeated-anchors")
+    # each different segment that is to be sorted once, with its number of copies
+    todo = dup.where("sort").groupBy("h", "fp", "m", "k").agg(F.min(F.struct("rk", "first", "n")).alias("one")).select("h", "fp", "m", "k", "one.rk", "one.first", "one.n")
     blocks = F.ceil(F.col("k") / F.lit(block or BLOCK)).cast("int")
-    todo = classes.join(per, "h").withColumn("blocks", blocks).withColumn("block", F.pmod("fp", F.col("blocks")).cast("int"))
+    todo = written(todo.withColumn("blocks", blocks).withColumn("block", F.pmod("fp", F.col("blocks")).cast("int")), "segments")
     want = todo.groupBy("rk").agg(F.collect_list(F.struct("h", "fp", "m", "block", "blocks", "first", "n")).alias("want"))
     segs = cut_segments(base.join(want, "rk"), width)
     solved = written(sorted_segments(segs.repartition("h", "block").sortWithinPartitions("h", "block", "fp"), width), "repeated-windows")
@@ -280,10 +282,9 @@ def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM, block:
     far = solved.where("hash is not null").groupBy("h", "hash").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a <> b").select("h", "hash")
     crossed = solved.where("hash is not null and m = 1").join(far, ["h", "hash"]).select("h", "fp", "lo", "hi")
     runs = solved.where("hash is null").select("h", "fp", "lo", "hi").unionByName(crossed)
-    single = runs.join(classes.where("m = 1"), ["h", "fp"]).select("rk", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") - 1 + width).alias("hi"))
+    single = runs.join(todo.where("m = 1").select("h", "fp", "rk", "first"), ["h", "fp"]).select("rk", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") - 1 + width).alias("hi"))
     whole = F.struct(F.col("first").alias("lo"), (F.col("first") + F.col("n") - 1 + width).alias("hi"))
-    copies = dup.where("mixed").join(classes.where("m > 1").select("h", "fp"), ["h", "fp"])
-    spans = dup.where("not mixed").select("rk", whole.alias("s")).unionByName(copies.select("rk", whole.alias("s"))).unionByName(single.select("rk", F.struct("lo", "hi").alias("s")))
+    spans = dup.where("m > 1").select("rk", whole.alias("s")).unionByName(single.select("rk", F.struct("lo", "hi").alias("s")))
     return spans.groupBy("rk").agg(F.collect_set("s").alias("spans"))
 
 
