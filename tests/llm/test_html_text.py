@@ -25,6 +25,9 @@ def test_the_tree_learns_its_table():
     f"<ARTICLE CLASS='x'>{ART[9:]}<FOOTER>no</FOOTER>",
     f"<body class=sidebar>{ART.replace('<p>', '<p title=\"a > b\">')}</body>",
     ART.replace("</article>", "<aside>Read more</aside><div class='share-buttons'>Share</div><section id=comments><p>Great article, " + "thanks " * 30 + "</section></article>"),
+    ART.replace("<h1>The title</h1>", "<div class='post-header'><h1>The title</h1></div>"),
+    ART.replace("<h1>The title</h1>", "<header><h1>The title</h1></header>").replace("</article>", "<div class=responses>First!</div></article>"),
+    f"<div class='site-header'>Our site has the best news of all</div><div class=rail><ins class=adsbygoogle>Buy</ins>{'more news ' * 40}</div>{ART}",
     f"<main><div class=notice>Site closed</div>{ART}</main>",
     f"<div style='display: none'>{'hidden ' * 50}</div>{ART}<div hidden>more</div>",
 ])

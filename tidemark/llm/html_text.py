@@ -25,8 +25,8 @@ RAW = frozenset("script style title textarea xmp iframe noembed noframes".split(
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary svg table tbody td template tfoot th thead tr ul".split())
 CLOSES_SAME = frozenset("p li dt dd tr td th option".split())
 SIDE_TAGS = frozenset("nav footer aside form dialog button select menu noscript template svg search fieldset".split())
-SIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments disqus respond reply replies widget pagination pager copyright legal".split())
-DEEP_NAMES = frozenset("comment comments disqus respond reply replies related recommended recommendations".split())
+SIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle adslot adbox banner sponsor sponsored promo promotion sidebar side sidenav rail menu nav navbar topnav subnav navigation breadcrumb breadcrumbs footer header masthead topbar toolbar cookie cookies consent gdpr notice notices disclaimer announcement alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments disqus respond response responses reply replies discussion reactions widget pagination pager copyright legal".split())
+DEEP_NAMES = frozenset("comment comments disqus respond response responses reply replies discussion reactions related recommended recommendations".split())
 MAIN_NAMES = frozenset("article post entry story content main text".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 
@@ -125,6 +125,8 @@ def part_of(tag: str, attributes: str, around: int) -> int:
                 role = value
     if around == DEEP:
         return DEEP
+    if around == MAIN:
+        names.discard("header")  # the head of an article holds its title
     if tag == "main" or role == "main":
         return MAIN
     if names & DEEP_NAMES:
