@@ -12,7 +12,7 @@ from tidemark.llm.simhash import op10_simhash
 from tidemark.llm.suffix import op7_suffix_dedup
 from tidemark.llm.token_files import op3_token_files
 from tidemark.llm.topk import op4_topk
-from tidemark.llm import topk
+from tidemark.llm import oracles, topk
 
 
 def queries() -> dict:
@@ -20,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": topk.ORACLE}
+    return {"op1_chat_tree": oracles.CHAT_TREE, "op2_decontaminate": oracles.DECONTAMINATE, "op4_topk": topk.ORACLE, "op7_suffix_dedup": oracles.SUFFIX_DEDUP}
