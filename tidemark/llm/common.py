@@ -28,7 +28,7 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_limits(spark: SparkSession, rows: int = 4096, size: str = "16m") -> None:
+def arrow_limits(spark: SparkSession, rows: int = 2048, size: str = "8m") -> None:
     """Batches to Python are bounded by bytes, so a few very long texts do not fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
