@@ -48,3 +48,14 @@ def test_whole_table_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view embeddings as from '{sf}/embeddings.parquet'")
     assert got == set(con.execute(topk.ORACLE).fetchall()) and len(got) == 50
+
+
+@pytest.mark.parametrize("size", [1.0, 5e6, 1e300])
+def test_many_copies(spark, size):
+    pick = random.Random(5)
+    rows = [(i, [pick.uniform(-size, size) for _ in range(6)]) for i in range(120)]
+    top = [size] * 6
+    rows += [(500, top)] * 400 + [(501, top)] * 30 + [(500, [size, 0.0, 0.0, 0.0, 0.0, 0.0])] * 20 + [(r[0], r[1]) for r in rows[:9] for _ in range(40)]
+    asked = [0, 7, 60, 90, 501]
+    want = slow(rows, set(asked))
+    assert run(spark, rows, asked) == want and len(want) >= 25

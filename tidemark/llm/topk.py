@@ -91,7 +91,20 @@ def exact_type(n: int, a: int, b: int):
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -score))[:k] if score.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:k], dtype=int)
+    """Places of the first k different (score, id), best first."""
+    order = np.lexsort((ids, -score)) if score.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-score[i], ids[i])), dtype=int)
+    again = (ids[order][1:] == ids[order][:-1]) & (score[order][1:] == score[order][:-1])
+    return order[np.concatenate(([True], ~again.astype(bool)))[: len(order)]][:k]
+
+
+def certain_bound(lo: np.ndarray, ids: np.ndarray, k: int, repeated: bool) -> int | float:
+    """A score that k different results reach at least (all of them, where there are fewer): an id's rows count once."""
+    if repeated:
+        order = np.argsort(ids, kind="stable")
+        lo = np.maximum.reduceat(lo[order], np.flatnonzero(np.concatenate(([True], np.diff(ids[order]) != 0))))
+        if len(lo) <= k:
+            return -np.inf
+    return np.partition(lo, len(lo) - k)[len(lo) - k] if len(lo) > k else lo.min()
 
 
 def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, cells: np.ndarray, v: np.ndarray, edges: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
@@ -100,6 +113,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, cells: np.ndarray,
     kind = exact_type(max(1, n), int(np.abs(q).max(initial=1)), int(max(abs(edges[0]), abs(edges[-1]), 1)))
     low, high = edges[:-1][cells].astype(kind), (edges[1:] - 1)[cells].astype(kind)
     exact = v.astype(kind)
+    repeated = len(np.unique(ids)) < len(ids)
     for s in range(0, len(q), STRIP):
         part = q[s : s + STRIP].astype(kind)
         up, down = np.maximum(part, 0), np.minimum(part, 0)
@@ -112,8 +126,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, cells: np.ndarray,
             lo, hi, these = least[i][free], most[i][free], ids[free]
             if not len(these):
                 continue
-            certain = np.partition(lo, len(lo) - k)[len(lo) - k] if len(lo) > k else lo.min()
-            order = np.flatnonzero(hi >= certain)
+            order = np.flatnonzero(hi >= certain_bound(lo, these, k, repeated))
             order = order[np.argsort(-hi[order], kind="stable")]
             rows, score, got = exact[free], np.zeros(0, kind), np.zeros(0, np.int64)
             step = max(4 * k, 64)
