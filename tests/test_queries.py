@@ -42,3 +42,16 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(registry.queries()) <= set(e.queries())
+
+
+def test_whole_tables(spark, con):
+    """The queries on id ranges have one beside them over the whole table."""
+    q = registry.queries()
+    orders, events = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("orders", "events"))
+    assert sorted(int(k) for r in q["merge_sort_all"](spark, SF).collect() for k in r.in_order.split(",")) == sorted(r[0] for r in orders.select("o_orderkey").collect())
+    assert {r.k for r in q["l0_arbitration_all"](spark, SF).collect()} == {r[0] for r in events.select("user_id").distinct().collect()}
+    action = {}
+    for r in orders.collect():
+        action.setdefault(r.o_custkey * 7 + r.o_orderkey % 7, set()).add(r.o_orderstatus)
+    want = {("add", k) for k, v in action.items() if v == {"O"}} | {("del", k) for k, v in action.items() if v == {"F"}}
+    assert {(r.action, r.num) for r in q["version_delta_all"](spark, SF).collect()} == want and len(want) > 100

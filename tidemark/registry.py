@@ -172,6 +172,11 @@ def l0_arbitration(spark, sf):
     return ChangeLog(df, ("k",)).newest().select("k", "seq", "num")
 
 
+@query(f"with {V} select k, max(seq) as seq, max_by(seq // 500, seq) as num from v group by k")
+def l0_arbitration_all(spark, sf):
+    return ChangeLog(history(spark, sf).df.withColumn("num", F.floor(F.col("seq") / 500)), ("k",)).newest().select("k", "seq", "num")
+
+
 @query(f"with {V} select k, seq, row_number() over (partition by k order by seq desc, kt desc) as place from v")
 def internal_order(spark, sf):
     w = Window.partitionBy("k").orderBy(*reads.internal_order("k")[1:])
@@ -195,6 +200,12 @@ def merge_sort(spark, sf):
     return o.groupBy("o_custkey").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string"))).alias("in_order"))
 
 
+@query("select o_custkey, array_to_string(list_sort(list(o_orderkey)), ',') as in_order from orders group by o_custkey")
+def merge_sort_all(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.groupBy("o_custkey").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string"))).alias("in_order"))
+
+
 @query("with p as (select p_partkey, p_size as probe from part) select p_partkey, cast(case when probe % 2 = 1 and probe <= 49 then (probe - 1) // 2 else -(least(25, probe // 2) + 1) end as integer) as place from p")
 def binary_search(spark, sf):
     odd = F.array(*[F.lit(i) for i in range(1, 50, 2)])
@@ -350,6 +361,12 @@ def version_delta(spark, sf):
     return manifest.delta(old, new)
 
 
+@query("with f as (select o_custkey * 7 + o_orderkey % 7 as num, o_orderstatus as s from orders), o as (select distinct num from f where s <> 'O'), n as (select distinct num from f where s <> 'F') select 'add' as action, num from (select num from n except select num from o) union all select 'del' as action, num from (select num from o except select num from n)")
+def version_delta_all(spark, sf):
+    f = table(spark, sf, "orders").select((F.col("o_custkey") * 7 + F.col("o_orderkey") % 7).alias("num"), F.col("o_orderstatus").alias("s"))
+    return manifest.delta(f.where("s <> 'O'").select("num").distinct(), f.where("s <> 'F'").select("num").distinct())
+
+
 def versions(spark, sf):
     return table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 50).alias("version")).agg(F.collect_set("o_custkey").alias("nums"))
 
