@@ -46,3 +46,20 @@ def test_versions_edges(spark):
                 want[k] = v if t == 1 else None
         got = {bytes(r.ukey): bytes(r.value) for r in ChangeLog(df).live(at).collect()}
         assert got == {k: v for k, v in want.items() if v is not None}
+
+
+def test_assigned_sequence_keeps_nulls(spark):
+    rows = [(v, w) for w, v in enumerate([5, None, 3, None, 9, 1, None, 3])]
+    got = reads.assign_sequence(spark.createDataFrame(rows, "v long, w long").repartition(3), ["v", "w"], 10).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert sorted((r.seq, r.v, r.w) for r in got) == [(11 + i, *r) for i, r in enumerate(ordered)]
+    none = reads.assign_sequence(spark.createDataFrame([(None,), (None,)], "v long"), ["v"], 0).collect()
+    assert sorted(r.seq for r in none) == [1, 2]
+
+
+def test_assigned_sequence_of_strings(spark):
+    names = [f"{w}{i}" for i in range(300) for w in ("a", "é", "Z", "")] + [None]
+    for kind, value in (("string", lambda n: n), ("binary", lambda n: None if n is None else n.encode())):
+        got = reads.assign_sequence(spark.createDataFrame([(value(n),) for n in names], f"v {kind}").repartition(5), ["v"], 0).collect()
+        want = [*sorted(n.encode() for n in names if n is not None), None]
+        assert [None if r.v is None else bytes(r.v) if kind == "binary" else r.v.encode() for r in sorted(got, key=lambda r: r.seq)] == want

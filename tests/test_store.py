@@ -150,3 +150,10 @@ def test_as_of_reads(spark):
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     nothing = log.over(log.df.where("false")).as_of(spark.createDataFrame(probes, "k string, at long"), "at")
     assert nothing.where("seq is not null").count() == 0 and nothing.count() == len(probes)
+
+
+def test_bulk_write_keeps_rows_without_an_order(spark, tmp_path):
+    rows = [(b"a", 1, b"1", 1), (b"b", 1, b"2", None), (b"a", 1, b"3", None), (b"c", 1, b"4", 7)]
+    store = Store.open(spark, str(tmp_path / "nulls"))
+    store.bulk_write(spark.createDataFrame(rows, "ukey binary, kt int, value binary, event_id long"), ["event_id", "ukey"])
+    assert {bytes(r.ukey): bytes(r.value) for r in store.scan().collect()} == {b"a": b"3", b"b": b"2", b"c": b"4"}

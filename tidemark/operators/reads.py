@@ -151,17 +151,25 @@ def binary_search(values: Column, probe: Column) -> Column:
 
 
 def assign_sequence(rows: DataFrame, order: list[str], base: int, parts: int = 16, name: str = "seq") -> DataFrame:
-    """base + 1, base + 2, ... in the given order. Ranks come from range parts and their counts, not from one task.
+    """base + 1, base + 2, ... in the given order, nulls last. Ranks come from range parts and their counts, not from one task.
 
-    Rows are cut into value ranges of the first order column, whose counts meet in one small window.
+    Rows are cut into value ranges of the first order column, whose counts meet in one small window; nulls are a part
+    of their own. The cuts of strings and binaries come from a bounded sample of the different values.
     """
     first = order[0]
-    cuts = rows.select(F.percentile_approx(first, [i / parts for i in range(1, parts)]).alias("c")).first()["c"] or []
-    part = reduce(lambda a, c: a + (F.col(first) > F.lit(c)).cast("int"), sorted(set(cuts)), F.lit(0))
-    cut = rows.withColumn("_part", part)
+    if isinstance(rows.schema[first].dataType, (T.StringType, T.BinaryType)):
+        some = rows.select(F.col(first).alias("c")).where("c is not null").distinct().orderBy(F.xxhash64("c"), "c").limit(64 * parts)
+        values = sorted((r["c"] for r in some.collect()), key=lambda v: v.encode() if isinstance(v, str) else bytes(v))
+        cuts = values[len(values) // parts :: max(1, len(values) // parts)]
+        cuts = [v if isinstance(v, str) else bytes(v) for v in cuts]
+    else:
+        cuts = rows.select(F.percentile_approx(first, [i / parts for i in range(1, parts)]).alias("c")).first()["c"] or []
+    cuts = sorted(set(cuts))
+    part = reduce(lambda a, c: a + (F.col(first) > F.lit(c)).cast("int"), cuts, F.lit(0))
+    cut = rows.withColumn("_part", F.coalesce(part, F.lit(len(cuts) + 1)))
     over = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*[F.col(c).asc_nulls_last() for c in order]))
     return cut.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn(name, F.lit(base) + F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
 
 
