@@ -55,3 +55,10 @@ def test_whole_tables(spark, con):
         action.setdefault(r.o_custkey * 7 + r.o_orderkey % 7, set()).add(r.o_orderstatus)
     want = {("add", k) for k, v in action.items() if v == {"O"}} | {("del", k) for k, v in action.items() if v == {"F"}}
     assert {(r.action, r.num) for r in q["version_delta_all"](spark, SF).collect()} == want and len(want) > 100
+
+
+def test_whole_orders(spark):
+    q = registry.queries()
+    for name, table, n in (("user_key_order_all", "customer", "place"), ("ordered_encoding_all", "orders", "n")):
+        count = spark.read.parquet(f"{SF}/{table}.parquet").count()
+        assert sorted(r[n] for r in q[name](spark, SF).collect()) == list(range(1, count + 1))

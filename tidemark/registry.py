@@ -188,6 +188,11 @@ def user_key_order(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", "c_name").orderBy(F.desc("c_name")).limit(20)
 
 
+@query("select c_custkey, c_name, row_number() over (order by c_name, c_custkey) as place from customer")
+def user_key_order_all(spark, sf):
+    return reads.assign_sequence(table(spark, sf, "customer").select("c_custkey", "c_name"), ["c_name", "c_custkey"], 0, name="place")
+
+
 @query("select l_orderkey, l_linenumber, l_partkey, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey limit 15")
 def heap_top_k(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
@@ -430,6 +435,12 @@ def ordered_encoding(spark, sf):
     return rows.select(F.row_number().over(Window.orderBy("enc")).alias("n"), keys.ordered_long_back(F.col("enc")).alias("o_orderkey"))
 
 
+@query("select row_number() over (order by o_orderkey - 500) as n, o_orderkey - 500 as o_orderkey from orders")
+def ordered_encoding_all(spark, sf):
+    rows = table(spark, sf, "orders").select(keys.ordered_long(F.col("o_orderkey") - 500).alias("enc"))
+    return reads.assign_sequence(rows, ["enc"], 0, name="n").select("n", keys.ordered_long_back(F.col("enc")).alias("o_orderkey"))
+
+
 @query("select c_custkey, list_reduce(list_prepend(cast(2166136261 as ubigint), list_transform(range(1, length(c_name) + 1), lambda i: cast(ascii(substr(c_name, i, 1)) as ubigint))), lambda h, b: xor((h * 16777619) & 4294967295, b))::bigint as hash from customer")
 def bloom_hash(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", bloom.fnv1_column(F.col("c_name").cast("binary")).alias("hash"))
