@@ -54,3 +54,10 @@ def test_held_out_accuracy(spark):
     bad = [p for p, q in held if q == 0]
     good = [p for p, q in held if q == 1]
     assert 1 - sum(bad) / len(bad) > 0.95 and sum(good) / len(good) > 0.97
+
+
+def test_labels_of_other_documents(spark):
+    docs = spark.createDataFrame([(k, f"text number {k}") for k in range(1000, 1040)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1040)], "doc_id long, quality int")
+    known = sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(1000, 1040))
+    assert len(fit(docs, labels, sample=40).labels) == known and len(fit(docs, labels, sample=7).labels) == 7

@@ -122,12 +122,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: in
     arrow_limits(spark)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~in_fold(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)  # labels may be of documents that are not here
+    # labels may be of documents that are not here
+    here = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    known = known.join(here, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     picked = {r["doc_id"]: r["y"] for r in known.collect()}
     ids = spark.createDataFrame([(k,) for k in picked], "doc_id long")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     found = {r["doc_id"]: bytes(r["terms"]) for r in term_rows(texts).collect()}
-    order = [k for k in picked if k in found][:sample]
+    order = [k for k in picked if k in found]
     a = np.zeros((len(order), N_TERMS), dtype=np.float32)
     for i, k in enumerate(order):
         n = len(found[k]) // 6
