@@ -97,3 +97,45 @@ def test_whole_table_against_brute_force(spark):
     want = {k: (a, b, c, hashlib.sha256(x).hexdigest()) for (k, _), (a, b, c, x) in zip(docs, slow([t for _, t in docs], 200), strict=True)}
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op7_suffix_dedup(spark, sf).collect()} == want
     assert any(w[1] for w in want.values())
+
+
+def test_nothing_goes_without_the_arrays(spark, monkeypatch):
+    import tidemark.llm.suffix as S
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(S, "repeated_windows", lambda segments, *_: [np.zeros(n, bool) for _, n in segments])
+    for block in (None, 2):
+        assert remove_repeats(docs, block=block).where("n_removed > 0").count() == 0
+
+
+def test_common_prefixes():
+    from tidemark.llm.suffix import common_prefixes
+
+    pick = random.Random(6)
+    raw = np.frombuffer(bytes(pick.choices(b"ab", weights=[30, 1], k=3000)), np.uint8).astype(np.int16)
+    a, b = (np.array([pick.randrange(2000) for _ in range(500)]) for _ in range(2))
+    limit = np.array([pick.randrange(300) for _ in range(500)])
+    slow_one = lambda i, j, n: next((k for k in range(n) if raw[i + k] != raw[j + k]), n)
+    assert common_prefixes(raw, a, b, limit).tolist() == [slow_one(*x) for x in zip(a.tolist(), b.tolist(), limit.tolist(), strict=True)]
+
+
+def test_sorting_only_first_suffixes():
+    pick = random.Random(7)
+    for _ in range(100):
+        segments = [(bytes(pick.choices(b"ab", k=(n := pick.randrange(1, 30)) + 4)), n) for _ in range(pick.randrange(1, 6))]
+        twice = segments + segments
+        assert all(f.all() for f in repeated_windows(twice, 5, [1] * len(twice)))
+
+
+def test_clashing_columns_and_other_names(spark):
+    text = "".join(random.Random(8).choices("abcdefgh ", k=300))
+    rows = [(1, text, 7, "s", None, 1.5), (2, text, 8, None, "x", 1.5), (3, "short", 9, "t", "y", 2.5)]
+    docs = spark.createDataFrame(rows, "rk1 long, body string, rk int, spans string, text string, `a.b` double")
+    got = {r.rk1: r for r in remove_repeats(docs, text_col="body").collect()}
+    assert {k: (r.n_removed, r.rk, r.spans, r.text, r["a.b"]) for k, r in got.items()} == {1: (300, 7, "s", None, 1.5), 2: (300, 8, None, "x", 1.5), 3: (0, 9, "t", "y", 2.5)}
+
+
+def test_a_text_and_its_null_neighbour_are_told_apart(spark):
+    text = "".join(random.Random(9).choices("abcdefgh ", k=300))
+    docs = spark.createDataFrame([(None, text), (text, None), (None, text), ("other", text)], "text string, title string")
+    assert sorted(r.n_removed for r in remove_repeats(docs, text_col="title").collect()) == [0, 300, 300, 300]

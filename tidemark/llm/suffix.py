@@ -3,14 +3,17 @@
 A string of `width` bytes is repeated if it also starts anywhere else. Its rarest-looking `GRAM` bytes (those of least
 hash among all in it) are its anchor: equal strings have equal anchors, so a first pass writes, for every document, its
 anchors with the run of windows that each anchor owns (a segment), and only anchors that occur twice can own repeated
-windows. The segments of an anchor are brought together, each different segment once with its number of copies. Where
-they differ, a suffix array over the segments decides: suffixes smaller than their successors are sorted directly, the
-others are induced by a scan over the buckets, and windows whose common prefix with a neighbour has `width` bytes repeat.
+windows. What repeats is decided by suffix arrays alone. Of a segment with copies (equal in a 128-bit cryptographic digest of
+its bytes) two enter an array by their first suffix; where an anchor also has segments without a copy, all windows of its
+different segments do. Suffixes smaller than their successors are sorted directly, the others are induced by a scan over the
+buckets. Then the common prefixes of neighbours are computed: a prefix of n bytes at a place makes the n - width + 1 windows
+from there on repeated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 WIDTH = 200
 GRAM = 48
 CHUNK = 1 << 19
-BLOCK = 8192  # segments of one anchor that are sorted in one array; more go to several arrays
+BLOCK = 1024  # segments of one anchor that are sorted in one array; more go to several arrays
 ARRAY_BYTES = 1 << 18
 
 
@@ -39,7 +42,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hasher:
-    """Hashes of the substrings of a buffer from prefix sums; 64 bits, mixed."""
+    """64-bit hashes of the substrings of a buffer from prefix sums. They choose anchors; equal hashes prove nothing."""
 
     up, down = _powers(1)
 
@@ -49,9 +52,6 @@ class Hasher:
         self.sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)], out=self.sums[1:])
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
-
     def grams(self, k: int) -> np.ndarray:
         n = len(self.sums) - k
         return self.mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
@@ -65,9 +65,9 @@ class Hasher:
 
 
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
-    """Place of the (first) least of h[i : i + w] by its upper bits, for each i."""
+    """Place of the (first) least of h[i : i + w] by its upper bits, for each i; as many bits whatever the length of a buffer."""
     n = len(h) - w + 1
-    bits = np.uint64(max(1, len(h).bit_length()))
+    bits = np.uint64(max(21, len(h).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
     key = np.full(-(-len(h) // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
     key[: len(h)] = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -77,8 +77,14 @@ def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(right[:n], left[w - 1 : w - 1 + n]) & low).astype(np.int64)
 
 
-def anchors(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, anchor hash, first window, number of windows, hash of the segment) of the segments of texts.
+def digests(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two longs each: a 128-bit cryptographic digest, so equal digests are equal bytes."""
+    raw = np.frombuffer(b"".join([blake2b(d, digest_size=16).digest() for d in data]), "<i8").reshape(-1, 2)
+    return raw[:, 0], raw[:, 1]
+
+
+def anchors(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(text number, anchor hash, first window, number of windows, 16 bytes of digest) of the segments of texts.
 
     Long texts go in parts that share width - 1 bytes, so every window is in one part and is owned once; a segment that
     a border cuts gives two, in the same way only for texts that agree from their start, which costs nothing but rows.
@@ -112,18 +118,42 @@ def anchors(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[n
         where = piece[first]
         begin = ends[where] - sizes[where]
         # the anchor's place in the segment is part of it: equal segments have equal windows at equal places
-        seg = Hasher.mix(hasher.of(first, first + n + width - 1) ^ (place - first).astype(np.uint64) * BASE ^ n.astype(np.uint64))
+        joined = raw.tobytes()
+        one, two = digests([joined[i:j] for i, j in zip(first.tolist(), (first + n + width - 1).tolist(), strict=True)])
         owners, shifts = np.array(owner[k:stop])[where], np.array(shift[k:stop])[where]
-        out.append((owners, grams[place], first - begin + shifts, n, seg))
+        one = one ^ ((place - first).astype(np.uint64) * BASE).view(np.int64)
+        out.append((owners, grams[place], first - begin + shifts, n, np.stack((one, two), axis=1).view("V16")[:, 0]))
         k = stop
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z.astype(np.uint64), z, z, z.astype(np.uint64)
+        return z, z.astype(np.uint64), z, z, np.zeros(0, "V16")
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def repeated_windows(segments: list[tuple[bytes, int]], width: int = WIDTH) -> list[np.ndarray]:
-    """segments of (bytes, n): for each, which of its n windows (bytes i to i + width) also start elsewhere in these."""
+def common_prefixes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """The lengths of the common prefixes of the suffixes at a and b, at most limit each."""
+    out, left = limit.copy(), np.arange(len(a))
+    step, done = 64, 0
+    while len(left):
+        for k in range(0, len(left), 4096):
+            some = left[k : k + 4096]
+            at = done + np.arange(step)
+            last = len(raw) - 1
+            differ = raw[np.minimum(a[some][:, None] + at, last)] != raw[np.minimum(b[some][:, None] + at, last)]
+            found = differ.any(axis=1)
+            out[some[found]] = np.minimum(limit[some[found]], done + differ[found].argmax(axis=1))
+            left[k : k + 4096] = np.where(found | (limit[some] <= done + step), -1, some)
+        left = left[left >= 0]
+        done += step
+    return out
+
+
+def repeated_windows(segments: list[tuple[bytes, int]], width: int = WIDTH, sort: list[int] | None = None) -> list[np.ndarray]:
+    """segments of (bytes, n): for each, which of its n windows (bytes i to i + width) also start elsewhere in these.
+
+    sort: how many of the windows of each are put in the array, from the first on (all of them, if left out). The others are only
+    known to repeat as far as the common prefixes of those that are in it reach.
+    """
     text = b"".join(s + b"\0" for s, _ in segments)
     sizes = np.array([len(s) + 1 for s, _ in segments])
     starts = np.cumsum(sizes) - sizes
@@ -139,7 +169,7 @@ def repeated_windows(segments: list[tuple[bytes, int]], width: int = WIDTH) -> l
     smaller = step[next_step] > 0
     # the suffixes to sort: the windows, and after the last window of a segment what it takes to reach a smaller suffix
     edge = np.zeros(total + 1, np.int32)
-    counts = np.array([n for _, n in segments])
+    counts = np.array([n for _, n in segments] if sort is None else sort)
     edge[starts] += 1
     np.subtract.at(edge, starts + counts, 1)
     window = np.cumsum(edge[:-1]) > 0
@@ -175,117 +205,148 @@ def repeated_windows(segments: list[tuple[bytes, int]], width: int = WIDTH) -> l
             c = text[j - 1]
             array[front[c]] = j - 1
             front[c] += 1
-    is_window = window.tobytes() + b"\0"
-    repeated = bytearray(total)
-    before, held = -1, b""
-    for j in array:
-        if is_window[j]:
-            now = text[j : j + width]
-            if now == held:
-                repeated[j] = repeated[before] = 1
-            before, held = j, now
-    flags = np.frombuffer(bytes(repeated), np.uint8)
-    return [flags[s : s + n] for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
+    order = np.array(array, dtype=np.int64)
+    order = order[window[order]]
+    shared = common_prefixes(raw, order[:-1], order[1:], np.minimum(end_of[order[:-1]] - order[:-1], end_of[order[1:]] - order[1:]))
+    longest = np.maximum(np.append(shared, 0), np.append(0, shared))
+    hit = np.flatnonzero(longest >= width)
+    edge = np.zeros(total + 1, np.int32)
+    np.add.at(edge, order[hit], 1)
+    np.subtract.at(edge, order[hit] + longest[hit] - width + 1, 1)
+    flags = np.cumsum(edge[:-1]) > 0
+    return [flags[s : s + n] for s, (_, n) in zip(starts.tolist(), segments, strict=True)]
+
+
+KEYS = ["h", "fp1", "fp2"]  # of a segment: its anchor's hash and its digest
+ROW = ["rk1", "rk2"]  # of a document: 128 bits of hash of all its columns
 
 
 def anchor_rows(base: DataFrame, width: int, gram: int) -> DataFrame:
-    """(rk, text) -> (rk, h, fp, first, n)"""
-    names = ["rk", "h", "fp", "first", "n"]
+    """(rk1, rk2, text) -> (rk1, rk2, h, fp1, fp2, first, n)"""
+    names = [*ROW, *KEYS, "first", "n"]
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks:
-            owner, h, first, n, seg = anchors([t or b"" for t in as_bytes(b.column(1))], width, gram)
-            keys = b.column(0).to_numpy()[owner]
+            owner, h, first, n, seg = anchors([t or b"" for t in as_bytes(b.column(2))], width, gram)
+            one, two = np.ascontiguousarray(seg).view(np.int64).reshape(-1, 2).T
+            rk1, rk2 = b.column(0).to_numpy()[owner], b.column(1).to_numpy()[owner]
+            columns = [rk1, rk2, h.view(np.int64), one, two, first.astype(np.int32), n.astype(np.int32)]
             for k in range(0, len(h), 1 << 16):
-                part = slice(k, k + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(h[part].view(np.int64)), pa.array(seg[part].view(np.int64)), pa.array(first[part].astype(np.int32)), pa.array(n[part].astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in columns], names=names)
 
-    return base.select("rk", "text").mapInArrow(tidy(run), "rk long, h long, fp long, first int, n int")
+    return base.select(*ROW, "text").mapInArrow(tidy(run), "rk1 long, rk2 long, h long, fp1 long, fp2 long, first int, n int")
+
+
+CUT = "h long, fp1 long, fp2 long, m long, block int, blocks int, n int, role int, full boolean, data binary"
+CUT_ARROW = pa.schema([("h", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("m", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("n", pa.int32()), ("role", pa.int32()), ("full", pa.bool_()), ("data", pa.binary())])
 
 
 def cut_segments(rows: DataFrame, width: int) -> DataFrame:
     """(text, want) -> the wanted segments with their bytes"""
-    schema = pa.schema([("h", pa.int64()), ("fp", pa.int64()), ("m", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
+    names = [n for n in CUT_ARROW.names if n != "data"]
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             for b in blocks:
                 for text, want in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
                     for w in want:
-                        yield w["h"], w["fp"], w["m"], w["block"], w["blocks"], w["n"], text[w["first"] : w["first"] + w["n"] + width - 1]
+                        yield (*(w[n] for n in names), text[w["first"] : w["first"] + w["n"] + width - 1])
 
-        yield from batches(out(), schema)
+        yield from batches(out(), CUT_ARROW)
 
-    return rows.select("text", "want").mapInArrow(tidy(run), "h long, fp long, m long, block int, blocks int, n int, data binary")
+    return rows.select("text", "want").mapInArrow(tidy(run), CUT)
 
 
 def sorted_segments(segs: DataFrame, width: int) -> DataFrame:
-    """Segments in the order of (h, block) -> (h, fp, lo, hi, block, hash): runs of repeated windows of segments without copies.
+    """Segments in the order of (h, block, fp, role) -> (h, fp1, fp2, m, lo, hi, block, d1, d2).
 
-    Rows with a hash are windows of anchors whose segments went to several arrays: one row for equal windows of an array.
+    Rows with m = 1 and no digest are runs of repeated windows; those with m > 1 are segments of which the array did not
+    find a copy. Rows with a digest are windows of anchors whose segments went to several arrays: one row for equal windows of an array.
     """
-    schema = pa.schema([("h", pa.int64()), ("fp", pa.int64()), ("m", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("block", pa.int32()), ("hash", pa.int64())])
-
-    def solve(held: list[dict]) -> Iterator[tuple]:
-        told: set[tuple[int, int]] = set()
-        for s, flags in zip(held, repeated_windows([(s["data"], s["n"]) for s in held], width), strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
-            if s["m"] == 1:
+    schema = pa.schema([("h", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("m", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("block", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+
+    def solve(held: list[tuple]) -> Iterator[tuple]:
+        told: set[tuple[int, int, int]] = set()
+        flagged = repeated_windows([(s[9], s[6]) for s in held], width, [s[6] if s[8] else 1 for s in held])
+        for (h, fp1, fp2, m, block, blocks, n, role, full, data), flags in zip(held, flagged, strict=True):
+            if m > 1 and role == 0 and not flags.all():
+                yield h, fp1, fp2, m, 0, n, block, None, None
+            elif m == 1:
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
                 for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    yield s["h"], s["fp"], s["m"], lo, hi, s["block"], None
-            if s["blocks"] > 1:
-                at = np.arange(s["n"])
-                for k, x in enumerate(Hasher(np.frombuffer(s["data"], np.uint8)).of(at, at + width).view(np.int64).tolist()):
-                    if (s["h"], x) in told:
-                        continue
-                    told.add((s["h"], x))
-                    yield s["h"], s["fp"], s["m"], k, k + 1, s["block"], x
+                    yield h, fp1, fp2, m, lo, hi, block, None, None
+            if blocks > 1 and full:
+                for k, (d1, d2) in enumerate(zip(*(d.tolist() for d in digests([data[i : i + width] for i in range(n)])), strict=True)):
+                    if (h, d1, d2) not in told:
+                        told.add((h, d1, d2))
+                        yield h, fp1, fp2, m, k, k + 1, block, d1, d2
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
-            held: list[dict] = []
-            size, key = 0, None
+            held: list[tuple] = []
+            size, array, one = 0, None, None
             for b in blocks:
-                for s in b.to_pylist():
-                    if size >= ARRAY_BYTES and (s["h"], s["block"]) != key:
+                for s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if (s[:3], s[7]) == one:
+                        continue  # rows that are equal in all columns cut the same segment
+                    if size >= ARRAY_BYTES and (s[0], s[4]) != array:
                         yield from solve(held)
                         held, size = [], 0
-                    key = (s["h"], s["block"])
+                    array, one = (s[0], s[4]), (s[:3], s[7])
                     held.append(s)
-                    size += len(s["data"])
+                    size += len(s[9])
             if held:
                 yield from solve(held)
 
         yield from batches(out(), schema)
 
-    return segs.mapInArrow(tidy(run), "h long, fp long, m long, lo int, hi int, block int, hash long")
+    return segs.mapInArrow(tidy(run), "h long, fp1 long, fp2 long, m long, lo int, hi int, block int, d1 long, d2 long")
+
+
+def through_arrays(base: DataFrame, todo: DataFrame, width: int, name: str) -> DataFrame:
+    """todo(h, fp1, fp2, m, full, block, blocks, a, b): segments at the place a and, with copies, b, a struct (rk1, rk2, first, n)."""
+    rep = lambda role, at, full: F.struct(F.lit(role).alias("role"), full.alias("full"), F.col(at).alias("at"))
+    reps = F.when(F.col("m") > 1, F.array(rep(0, "a", F.col("full")), rep(1, "b", F.lit(False)))).otherwise(F.array(rep(0, "a", F.col("full"))))
+    each = todo.select(*KEYS, "m", "block", "blocks", F.explode(reps).alias("r")).select(*KEYS, "m", "block", "blocks", "r.role", "r.full", "r.at.*")
+    want = each.groupBy(*ROW).agg(F.collect_list(F.struct(*KEYS, "m", "block", "blocks", "n", "role", "full", "first")).alias("want"))
+    segs = cut_segments(base.join(want, ROW), width)
+    return written(sorted_segments(segs.repartition("h", "block").sortWithinPartitions("h", "block", "fp1", "fp2", "role"), width), name)
 
 
 def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int | None = None) -> DataFrame:
-    """(rk, text[, ...]) -> (rk, spans array<struct<lo, hi>>): byte ranges that repeated windows cover; not merged."""
+    """(rk1, rk2, text[, ...]) -> (rk1, rk2, spans array<struct<lo, hi>>): byte ranges that repeated windows cover; not merged."""
     found = anchor_rows(base, width, gram)
     # partial aggregates; an anchor or a segment in a third of all documents is one row a task
-    copies = written(found.groupBy("h", "fp").agg(F.count(F.lit(1)).alias("m")), "segment-counts")
+    copies = written(found.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("m")), "segment-counts")
     per = copies.groupBy("h").agg(F.sum("m").alias("c"), F.count(F.lit(1)).alias("k"), F.min("m").alias("least")).where("c > 1")
-    # segments of anchors that occur twice; sort: some of its anchor's segments have no copy and differ from others
-    known = copies.join(per, "h").select("h", "fp", "m", "k", ((F.col("k") > 1) & (F.col("least") == 1)).alias("sort"))
+    # segments of anchors that occur twice; full: some of its anchor's segments have no copy and differ from others
+    known = copies.join(per, "h").select(*KEYS, "m", "k", ((F.col("k") > 1) & (F.col("least") == 1)).alias("full"))
     known = written(known, "repeated-segments")  # a plain exchange on either side of the join lets a hot segment be split
-    dup = written(found.join(known, ["h", "fp"]), "repeated-anchors")
-    # each different segment that is to be sorted once, with its number of copies
-    todo = dup.where("sort").groupBy("h", "fp", "m", "k").agg(F.min(F.struct("rk", "first", "n")).alias("one")).select("h", "fp", "m", "k", "one.rk", "one.first", "one.n")
+    dup = written(found.join(known, KEYS), "repeated-anchors")
+    # each different segment once, with two of its places
+    place = F.struct(*ROW, "first", "n")
+    todo = dup.groupBy(*KEYS, "m", "k", "full").agg(F.min(place).alias("a"), F.max(place).alias("b"))
     blocks = F.ceil(F.col("k") / F.lit(block or BLOCK)).cast("int")
-    todo = written(todo.withColumn("blocks", blocks).withColumn("block", F.pmod("fp", F.col("blocks")).cast("int")), "segments")
-    want = todo.groupBy("rk").agg(F.collect_list(F.struct("h", "fp", "m", "block", "blocks", "first", "n")).alias("want"))
-    segs = cut_segments(base.join(want, "rk"), width)
-    solved = written(sorted_segments(segs.repartition("h", "block").sortWithinPartitions("h", "block", "fp"), width), "repeated-windows")
-    # windows of anchors with several arrays: equal hashes (of one anchor) in two arrays
-    far = solved.where("hash is not null").groupBy("h", "hash").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a <> b").select("h", "hash")
-    crossed = solved.where("hash is not null and m = 1").join(far, ["h", "hash"]).select("h", "fp", "lo", "hi")
-    runs = solved.where("hash is null").select("h", "fp", "lo", "hi").unionByName(crossed)
-    single = runs.join(todo.where("m = 1").select("h", "fp", "rk", "first"), ["h", "fp"]).select("rk", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") - 1 + width).alias("hi"))
+    todo = written(todo.withColumn("blocks", blocks).withColumn("block", F.pmod("fp1", F.col("blocks")).cast("int")), "segments")
+    solved = through_arrays(base, todo, width, "repeated-windows")
+    runs = solved.where("d1 is null and m = 1").select(*KEYS, "lo", "hi")
+    if todo.where("blocks > 1 and full").limit(1).count():
+        # windows of anchors with several arrays: of windows of two arrays with equal digests, two go through an array of their own
+        windows = solved.where("d1 is not null")
+        at = F.struct("block", *KEYS[1:], "lo")
+        far = windows.groupBy("h", "d1", "d2").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a.block <> b.block")
+        ends = far.select("h", "d1", "d2", F.explode(F.array("a", "b")).alias("e")).select("h", "d1", "d2", "e.fp1", "e.fp2", "e.lo")
+        ends = ends.join(todo.select(*KEYS, "a"), KEYS).groupBy("h", "d1", "d2").agg(*[f(F.struct("a.rk1", "a.rk2", (F.col("a.first") + F.col("lo")).alias("first"), F.lit(1).alias("n"))).alias(n) for f, n in ((F.min, "a"), (F.max, "b"))])
+        pairs = written(ends.select("h", F.col("d1").alias("fp1"), F.col("d2").alias("fp2"), F.lit(2).cast("long").alias("m"), F.lit(False).alias("full"), F.lit(0).alias("block"), F.lit(1).alias("blocks"), "a", "b"), "far-windows")
+        unlike = written(through_arrays(base, pairs, width, "far-arrays").where("m > 1").select("h", F.col("fp1").alias("d1"), F.col("fp2").alias("d2")), "far-unlike")
+        alike = pairs.select("h", F.col("fp1").alias("d1"), F.col("fp2").alias("d2")).join(unlike, ["h", "d1", "d2"], "left_anti")
+        runs = runs.unionByName(windows.where("m = 1").join(alike, ["h", "d1", "d2"]).select(*KEYS, "lo", "hi"))
+    single = runs.join(todo.where("m = 1").select(*KEYS, "a"), KEYS).select("a.rk1", "a.rk2", (F.col("a.first") + F.col("lo")).alias("lo"), (F.col("a.first") + F.col("hi") - 1 + width).alias("hi"))
+    # segments with copies go but where the array found none; that table is small (as a rule empty), and a large one is joined by sorting
+    refuted = written(solved.where("m > 1 and d1 is null").select(*KEYS).distinct(), "refuted")
     whole = F.struct(F.col("first").alias("lo"), (F.col("first") + F.col("n") - 1 + width).alias("hi"))
-    spans = dup.where("m > 1").select("rk", whole.alias("s")).unionByName(single.select("rk", F.struct("lo", "hi").alias("s")))
-    return spans.groupBy("rk").agg(F.collect_set("s").alias("spans"))
+    spans = dup.where("m > 1").join(refuted, KEYS, "left_anti").select(*ROW, whole.alias("s")).unionByName(single.select(*ROW, F.struct("lo", "hi").alias("s")))
+    return spans.groupBy(*ROW).agg(F.collect_set("s").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH, gram: int = GRAM, block: int | None = None, as_text: bool = False) -> DataFrame:
@@ -299,13 +360,14 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH,
     arrow_limits(docs.sparkSession)
     extra = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept": T.StringType() if as_text else T.BinaryType()}
     kept = [f for f in docs.schema.fields if f.name not in extra]
-    base = docs.select(*[F.col(f"`{f.name}`") for f in kept])
-    ids = [F.col(f"`{f.name}`") for f in kept if f.name != text_col and not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    base = base.withColumn("rk", F.xxhash64(F.col(text_col), *ids))
-    flat = base if text_col == "text" else base.withColumnRenamed(text_col, "text")
-    joined = flat.join(repeated_spans(flat, width, gram, block), "rk", "left").select(*[F.col(f"`{'text' if f.name == text_col else f.name}`") for f in kept], "spans")
-    schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in extra.items()]])
     at = [f.name for f in kept].index(text_col)
+    # columns have names of our own meanwhile, whatever theirs are
+    inner = ["text" if i == at else f"c{i}" for i in range(len(kept))]
+    base = docs.select(*[F.col(f"`{f.name}`").alias(c) for f, c in zip(kept, inner, strict=True)])
+    ids = [F.col(c) for f, c in zip(kept, inner, strict=True) if c != "text" and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    base = base.select(*inner, F.xxhash64(F.col("text").isNull(), "text", *ids).alias("rk1"), F.xxhash64(F.lit("second"), F.col("text").isNull(), "text", *ids).alias("rk2"))
+    joined = base.join(repeated_spans(base, width, gram, block), ROW, "left").select(*inner, "spans")
+    schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in extra.items()]])
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks:
