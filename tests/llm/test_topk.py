@@ -59,3 +59,39 @@ def test_many_copies(spark, size):
     asked = [0, 7, 60, 90, 501]
     want = slow(rows, set(asked))
     assert run(spark, rows, asked) == want and len(want) >= 25
+
+
+def by_sql(rows, every=True):
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", [list(r) for r in rows])
+    return sorted(con.execute(topk.ORACLE).fetchall())
+
+
+def every_row(spark, rows):
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    return sorted(tuple(r) for r in topk.top_k(t, t.where("vec_id % 50 = 0"), every_row=True, saturate=False).collect())
+
+
+def test_repeated_rows_against_sql(spark):
+    pick = random.Random(6)
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0])]
+    assert every_row(spark, rows) == by_sql(rows) and len(by_sql(rows)) == 4
+    rows = [(i % 130, [pick.choice([-1.0, 0.5, 2.0]) for _ in range(3)]) for i in range(400)]
+    rows += [(50, [2.0, 2.0, 2.0])] * 30 + [(7, [2.0, 2.0, 2.0])] * 3 + [(100, [2.0, 2.0, 2.0])] * 2 + [(50, [0.5, 2.0, 2.0])] * 2 + [(k, [0.5, 0.5, 0.5]) for k in range(200, 400)]
+    assert every_row(spark, rows) == by_sql(rows)
+
+
+def test_too_large_is_an_error(spark):
+    for rows in ([(0, [1e300]), (1, [1.0])], [(0, [1e16, 1e16]), (1, [1e16, 1e16])]):
+        with pytest.raises(Exception, match="2\\*\\*62|64 bits"):
+            every_row(spark, rows)
+
+
+def test_few_exact_vectors_are_read(spark, tmp_path):
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    path = f"file://{tmp_path}/va"
+    topk.write_file(topk.quantised(t, "vec_id", "embedding", 256, False), path, 5, True)
+    asked = topk.quantised(t.where("vec_id % 50 = 0"), "vec_id", "embedding", 256, False).withColumn("qn", topk.F.monotonically_increasing_id()).select("qn", "id", "v")
+    left = topk.candidates(spark, path, asked, 5, True)
+    assert left.count() < 12 * asked.count() and left.select("rid").distinct().count() < t.count() / 4
