@@ -99,3 +99,42 @@ def test_whole_table_against_brute_force(spark):
 def test_digests_over_several_query_blocks(spark, monkeypatch):
     monkeypatch.setattr(D.scan, "__defaults__", ("item_id", "text", 2, False))
     test_edges(spark, monkeypatch)
+
+
+def test_words_of_one_hash_are_told_apart(spark):
+    """A Thue-Morse word and its complement have the same polynomial hash modulo 2**64."""
+    x = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    y = x.translate(str.maketrans("ab", "ba"))
+    assert np.unique(D.hashes(np.frombuffer(f"{x} {y}".encode(), np.uint8), np.array([0, 1025]), np.array([1024, 2049]))).size == 1
+    check(spark, [(1, f"{x} {y}"), (2, f"{y} {x} {y} q {x}"), (3, x), (4, "q")], [(1, y), (2, x), (3, f"{x} {y}"), (4, f"{y} q")])
+
+
+def test_unlike():
+    pick = random.Random(8)
+    words_ = ["".join(pick.choices("ab", k=pick.randrange(1, 30))) for _ in range(300)] + ["a" * n for n in (7, 8, 9, 16, 17)]
+    raw = np.frombuffer(" ".join(words_).encode(), np.uint8)
+    starts, ends = D.spans(raw)
+    a, b = (np.array([pick.randrange(len(words_)) for _ in range(3000)]) for _ in range(2))
+    assert D.unlike(raw, starts, ends - starts, a, b).tolist() == [words_[i] != words_[j] for i, j in zip(a, b, strict=True)]
+
+
+def test_near_items_against_brute_force(spark):
+    pick = random.Random(9)
+    docs = [(k, " ".join(pick.choices("abcdefghij", k=pick.randrange(90)))) for k in range(30)] + [(3, None), (None, "a b c d e f"), (None, "a b c d e f")]
+    items = [(k, " ".join(pick.choices("abcdefghij", k=pick.randrange(8)))) for k in range(6)] + [(7, None)]
+    width, span = 4, 6
+    want = []
+    for k, t in docs:
+        w = slow_words(t)
+        for item, x in items:
+            v, found = slow_words(x), set()
+            for s in range(max(1, len(v) - width + 1)) if v else ():
+                terms = set(v[s : s + width])
+                full = {(i, j) for i in range(len(w)) for j in range(i, min(len(w), i + span)) if terms <= set(w[i : j + 1])}
+                found |= {(i, j) for i, j in full if not any((c, e) != (i, j) and i <= c and e <= j for c, e in full)}
+            if found:
+                want.append((k, str(item), len(found), *min(found)))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1000, 2):
+        got = [tuple(r) for r in D.near_items(d, i, width, span, limit).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str) and want

@@ -28,7 +28,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 CHUNK = 1 << 20
 SEGMENT_BYTES = 6 << 20
-QUERY_WINDOWS = 100_000
+QUERY_WINDOWS = 250_000
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -61,7 +61,7 @@ def spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word of a buffer. Equal hashes are only taken for equal words after a look at the words."""
+    """A 64-bit hash of each word of a buffer. It orders words; that equal hashes are equal words is looked up in their bytes."""
     out = np.empty(len(starts), np.uint64)
     k = 0
     while k < len(starts):
@@ -87,6 +87,20 @@ def pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return np.append(raw, np.uint8(0x20))[at].tobytes()
 
 
+def unlike(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the words a differ from the words b, byte for byte: eight bytes of all at a time."""
+    out = sizes[a] != sizes[b]
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate((raw, np.zeros(8, np.uint8))), 8)
+    left, at = np.flatnonzero(~out), 0
+    while len(left):
+        rest = np.minimum(sizes[a[left]] - at, 8)
+        differ = ((eights[starts[a[left]] + at] != eights[starts[b[left]] + at]) & (np.arange(8) < rest[:, None])).any(axis=1)
+        out[left] = differ
+        left = left[~differ & (sizes[a[left]] > at + 8)]
+        at += 8
+    return out
+
+
 class Segment:
     """Terms in hash order with their postings, and the documents' first places."""
 
@@ -116,6 +130,21 @@ class Segment:
             places = np.argsort(h, kind="stable")
             sorted_h = h[places]
             new = np.concatenate(([True], sorted_h[1:] != sorted_h[:-1]))
+        same = np.flatnonzero(~new[1:])
+        differ = same[unlike(raw, starts, ends - starts, places[same], places[same + 1])]
+        if len(differ):
+            # words of one hash that differ: each such hash's places are put in the order of their words
+            run = np.append(np.flatnonzero(new), n)
+            for g in np.unique(np.searchsorted(run, differ, "right") - 1).tolist():
+                lo, hi = int(run[g]), int(run[g + 1])
+                by_word: dict[bytes, list[int]] = {}
+                for i in sorted(places[lo:hi].tolist()):
+                    by_word.setdefault(joined[starts[i] : ends[i]], []).append(i)
+                places[lo:hi] = [i for held in by_word.values() for i in held]
+                at = lo
+                for held in by_word.values():
+                    new[at] = True
+                    at += len(held)
         heads = np.flatnonzero(new)
         one = places[heads]
         return pieces(raw, starts[one], ends[one]), np.append(heads[1:], n), places, firsts, n
@@ -148,8 +177,13 @@ class Segment:
         lists = [self.postings(t) for t in wanted]
         if not wanted or not len(lists[0]):
             return []
+        # places of the rarest term that have each other term, from the rarer on, less than span words away
+        left = lists[0]
+        for q in lists[1:]:
+            at = np.searchsorted(q, left - span + 1)
+            left = left[(at < len(q)) & (q[np.minimum(at, len(q) - 1)] < left + span)]
         found = set()
-        for p in lists[0].tolist():
+        for p in left.tolist():
             around = sorted((int(x), k) for k, q in enumerate(lists) for x in q[np.searchsorted(q, p - span + 1) : np.searchsorted(q, p + span)])
             seen: dict[int, int] = {}
             for x, k in around:
@@ -158,7 +192,12 @@ class Segment:
                     first = min(seen.values())
                     if first <= p <= x and x - first < span and self.same_document(np.array([first]), np.array([x]))[0]:
                         found.add((first, x))
-        return sorted((a, b) for a, b in found if not any((c, d) != (a, b) and a <= c and d <= b for c, d in found))
+        # of stretches in the order of their ends, one holds another if that begins no earlier and ends no later
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(found, key=lambda f: (f[1], -f[0])):
+            if not out or a > out[-1][0]:
+                out.append((a, b))
+        return out
 
 
 INDEX = "seg string, doc_ids array<bigint>, crcs array<bigint>, terms binary, ends binary, places binary, firsts binary, n_words bigint"
@@ -206,16 +245,34 @@ def windows(text: bytes | None, width: int) -> set[tuple[bytes, ...]]:
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
-def query_blocks(items: DataFrame, width: int, id_col: str, text_col: str, limit: int) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
-    """{window: item ids} in blocks of about `limit` windows: the driver and each task hold one block at a time."""
+class Windows:
+    """Windows of test items as rows of term numbers, with the ids of the items that have each."""
+
+    def __init__(self, block: dict[tuple[bytes, ...], list[str]]):
+        number: dict[bytes, int] = {}
+        width = max(map(len, block), default=1)
+        self.rows = np.full((len(block), width), -1, np.int32)
+        for i, w in enumerate(block):
+            self.rows[i, : len(w)] = [number.setdefault(t, len(number)) for t in w]
+        self.terms, self.items = list(number), list(block.values())
+
+    def within(self, seg: Segment) -> Iterator[tuple[list[bytes], list[str]]]:
+        """(terms, items) of the windows all of whose terms the segment has."""
+        here = np.array([*(t in seg.number for t in self.terms), True])  # the last is what -1 finds
+        for i in np.flatnonzero(here[self.rows].all(axis=1)).tolist():
+            yield [self.terms[t] for t in self.rows[i].tolist() if t >= 0], self.items[i]
+
+
+def query_blocks(items: DataFrame, width: int, id_col: str, text_col: str, limit: int) -> Iterator[Windows]:
+    """Windows in blocks of about `limit`: the driver and each task hold one block at a time."""
     block: dict[tuple[bytes, ...], list[str]] = {}
     for r in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("k"), F.col(text_col).cast("binary").alias("t")).toLocalIterator():
         for w in windows(bytes(r["t"]) if r["t"] is not None else None, width):
             block.setdefault(w, []).append(r["k"])
         if len(block) >= limit:
-            yield block
+            yield Windows(block)
             block = {}
-    yield block
+    yield Windows(block)
 
 
 def n_covered(hits: list[dict]) -> int:
@@ -246,20 +303,19 @@ def scan(spark: SparkSession, path: str, items: DataFrame, width: int, id_col: s
     table = spark.read.schema(INDEX).parquet(path)
     parts: list[DataFrame] = []
 
-    def look_up(block: dict[tuple[bytes, ...], list[str]], at_once: bool) -> DataFrame:
-        shared = spark.sparkContext.broadcast(list(block.items()))
+    def look_up(block: Windows, at_once: bool) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
 
         def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[tuple]:
                 for name, ids, crcs, seg in segments(blocks):
                     hits: dict[int, list] = {}
                     of: dict[int, set] = {}
-                    for terms, names in shared.value:
-                        if all(t in seg.number for t in terms):
-                            for p in seg.phrase(terms).tolist():
-                                d = int(np.searchsorted(seg.firsts, p, "right")) - 1
-                                hits.setdefault(d, []).append({"first": p - int(seg.firsts[d]), "n": len(terms)})
-                                of.setdefault(d, set()).update(names)
+                    for terms, names in shared.value.within(seg):
+                        for p in seg.phrase(terms).tolist():
+                            d = int(np.searchsorted(seg.firsts, p, "right")) - 1
+                            hits.setdefault(d, []).append({"first": p - int(seg.firsts[d]), "n": len(terms)})
+                            of.setdefault(d, set()).update(names)
                     sizes = np.diff(np.append(seg.firsts, seg.n_words)).tolist()
                     for d, (key, crc, n) in enumerate(zip(ids, crcs, sizes, strict=True)):
                         row = (name, d, key, crc, n, hits.get(d, []), sorted(of.get(d, ())))
@@ -311,6 +367,39 @@ def near_matches(spark: SparkSession, path: str, queries: list[list[str]], span:
     return spark.read.schema(INDEX).parquet(path).mapInArrow(tidy(run), "query int, doc_id long, first int, last int")
 
 
+def near_items(docs: DataFrame, items: DataFrame, width: int = 10, span: int = 20, limit: int = QUERY_WINDOWS) -> DataFrame:
+    """(doc_id, item_id, n_near, first, last), a row for each document and item with a proximity match.
+
+    A match is a shortest stretch of at most span words of a document that holds all words of a window of the item, in any
+    order; n_near counts the different stretches of all the item's windows, first and last are the word numbers of the first of
+    them. Ids of items are strings, as in contamination(); documents that are repeated give a row each.
+    """
+    spark = docs.sparkSession
+    path = work_dir(spark, "postings")
+    write_index(docs, path)
+    table = spark.read.schema(INDEX).parquet(path)
+    schema = pa.schema([("seg", pa.string()), ("nr", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.string()), ("first", pa.int64()), ("last", pa.int64())])
+    found = None
+    for block in query_blocks(items, width, "item_id", "text", limit):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(blocks: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            def rows() -> Iterator[tuple]:
+                for name, ids, _, seg in segments(blocks):
+                    for terms, names in shared.value.within(seg):
+                        for a, b in seg.near(terms, span):
+                            d = int(np.searchsorted(seg.firsts, a, "right")) - 1
+                            for item in set(names):
+                                yield name, d, ids[d], item, a - int(seg.firsts[d]), b - int(seg.firsts[d])
+
+            yield from batches(rows(), schema)
+
+        part = table.mapInArrow(tidy(run), "seg string, nr long, doc_id long, item_id string, first long, last long")
+        found = part if found is None else found.unionByName(part)
+    stretches = found.distinct().groupBy("seg", "nr", "doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct("first", "last")).alias("at"))
+    return stretches.select("doc_id", "item_id", "n_near", "at.first", "at.last")
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """One row a document: doc_id, crc, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -327,3 +416,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return contamination(docs, items).drop("crc")
+
+
+def decontaminate_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return near_items(docs, items)

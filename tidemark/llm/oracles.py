@@ -40,6 +40,28 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(c.n_hit, 0) as n_
 from docs d left join covered c using (rid) left join named m using (rid)
 """
 
+NEAR = f"""
+with items as (select coalesce(cast(item_id as varchar), 'null') as item, {_WORDS} as w from benchmark where text is not null),
+wins as (
+  select row_number() over () as win, item, list_distinct(w[i : i + 9]) as terms
+  from (select item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from items where len(w) > 0)
+),
+asked as (select win, len(terms) as n, unnest(terms) as term from wins),
+docs as (select row_number() over () as rid, doc_id, {_WORDS} as w from documents where text is not null),
+spots as (select rid, generate_subscripts(w, 1) - 1 as place, unnest(w) as word from docs),
+has as (select s.rid, a.win, a.n from (select distinct rid, word from spots) s join asked a on s.word = a.term group by all having count(*) = a.n),
+there as (select h.rid, h.win, h.n, s.place, s.word from has h join asked a using (win) join spots s on s.rid = h.rid and s.word = a.term),
+full_ones as (
+  select x.rid, x.win, x.place as first, y.place as last from there x join there y on x.rid = y.rid and x.win = y.win and y.place between x.place and x.place + 19
+  join there z on z.rid = x.rid and z.win = x.win and z.place between x.place and y.place group by x.rid, x.win, x.n, x.place, y.place having count(distinct z.word) = x.n
+),
+ends as (select rid, win, first, min(last) as last from full_ones group by 1, 2, 3),
+shortest as (select rid, win, max(first) as first, last from ends group by rid, win, last),
+stretches as (select distinct s.rid, w.item, s.first, s.last from shortest s join wins w using (win))
+select d.doc_id, s.item as item_id, count(*) as n_near, cast(min(s.first) as bigint) as first, cast(min_by(s.last, s.first * 100 + s.last - s.first) as bigint) as last
+from stretches s join docs d using (rid) group by s.rid, d.doc_id, s.item
+"""
+
 SUFFIX_DEDUP = """
 with docs as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
 wins as (select rid, i, md5_number(substr(h, 2 * i + 1, 400)) as k from (select rid, h, unnest(range(0, n - 199)) as i from docs where n >= 200)),

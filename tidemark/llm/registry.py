@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.bpe import op6_bpe
 from tidemark.llm.chat_tree import op1_chat_tree
-from tidemark.llm.decontaminate import op2_decontaminate
+from tidemark.llm.decontaminate import decontaminate_near, op2_decontaminate
 from tidemark.llm.html_text import op8_html_text
 from tidemark.llm.quality import op9_quality
 from tidemark.llm.shards import op5_shards
@@ -16,8 +16,8 @@ from tidemark.llm import oracles, topk
 
 
 def queries() -> dict:
-    return {"op1_chat_tree": op1_chat_tree, "op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op5_shards": op5_shards, "op6_bpe": op6_bpe, "op7_suffix_dedup": op7_suffix_dedup, "op8_html_text": op8_html_text, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
+    return {"op1_chat_tree": op1_chat_tree, "op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op5_shards": op5_shards, "op6_bpe": op6_bpe, "op7_suffix_dedup": op7_suffix_dedup, "op8_html_text": op8_html_text, "op9_quality": op9_quality, "op10_simhash": op10_simhash, "decontaminate_near": decontaminate_near}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_tree": oracles.CHAT_TREE, "op2_decontaminate": oracles.DECONTAMINATE, "op4_topk": topk.ORACLE, "op7_suffix_dedup": oracles.SUFFIX_DEDUP}
+    return {"op1_chat_tree": oracles.CHAT_TREE, "op2_decontaminate": oracles.DECONTAMINATE, "op4_topk": topk.ORACLE, "op7_suffix_dedup": oracles.SUFFIX_DEDUP, "decontaminate_near": oracles.NEAR}
