@@ -77,3 +77,16 @@ def test_whole_table_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-7, k, r, "\\### Assistant: </turn> ok") for k, r in enumerate(["user", "assistant"])]
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in op1_chat_tree(spark, sf).collect()} == slow(rows)
+
+
+def test_ties_follow_role_and_text(spark):
+    """In formatted form "Yes</turn>" comes after "Yes please</turn>"; as texts they are the other way round."""
+    rows = [(1, 0, "user", x) for x in ("Yes please", "Yes", "Yes", "A<", "A", "A\\", "A ")] + [(1, 0, "user b", "x"), (1, 0, "user", "### "), (2, 3, "assistant", "b"), (2, 3, "assistant", "a")]
+    check(spark, rows)
+
+
+def test_a_turn_that_all_share(spark, monkeypatch):
+    import tidemark.llm.chat_tree as C
+
+    monkeypatch.setattr(C, "SHARED_ROWS", 7)
+    check(spark, [(c, t, "user", "hello" if t < 2 else f"own {c % 40}") for c in range(100) for t in range(3)])

@@ -83,6 +83,21 @@ def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
+HOT_KEYS = 1000
+
+
+def joined_by(left: DataFrame, right: DataFrame, keys: list[str], refs: str, total: int) -> DataFrame:
+    """left and right joined by keys, where right has a row a key and, as refs, how many of left's `total` rows have the key.
+
+    Keys with more than one in HOT_KEYS of all rows are less than HOT_KEYS rows of right: those are broadcast, so such a
+    key's rows stay spread as they are. All others are joined by key. right's rows are of fixed width.
+    """
+    hot = F.col(refs) * HOT_KEYS > total
+    few = F.broadcast(right.where(hot))
+    rest = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti")
+    return left.join(few, keys).unionByName(rest.join(right.where(~hot), keys))
+
+
 def positions(df: DataFrame, group: list[str], order: list[Column], name: str, parts: int) -> DataFrame:
     """Add a gapless position from 0 within each group, without one task per group.
 

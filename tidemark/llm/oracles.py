@@ -11,13 +11,17 @@ with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '\\### Assistant: </turn> ok'
   union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'
-)
+),
+sized as (select *, 14 + length(replace({_BREAK.format("role")}, ':', '\\:')) + length({_BREAK.format("text")}) as n from rows),
+placed as (select *, cast(coalesce(sum(n) over (partition by conv_id order by turn, role, text rows between unbounded preceding and 1 preceding), 0) as bigint) as pos from sized)
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  cast(sum(14 + length(replace({_BREAK.format("role")}, ':', '\\:')) + length({_BREAK.format("text")})) as bigint) as formatted_chars
-from rows group by conv_id
+  cast(sum(n) as bigint) as formatted_chars,
+  sha256(string_agg(cast(pos as varchar), ',' order by pos)) as positions_sha256,
+  cast(sum(pos) as bigint) as ancestor_chars
+from placed group by conv_id
 """
 
 DECONTAMINATE = f"""
