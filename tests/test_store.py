@@ -157,3 +157,110 @@ def test_bulk_write_keeps_rows_without_an_order(spark, tmp_path):
     store = Store.open(spark, str(tmp_path / "nulls"))
     store.bulk_write(spark.createDataFrame(rows, "ukey binary, kt int, value binary, event_id long"), ["event_id", "ukey"])
     assert {bytes(r.ukey): bytes(r.value) for r in store.scan().collect()} == {b"a": b"3", b"b": b"2", b"c": b"4"}
+
+
+def test_numbers_of_any_order(spark):
+    from datetime import datetime
+
+    from tidemark.operators.reads import assign_sequence
+
+    rows = [(i, v, t) for i, (v, t) in enumerate([(None, None), ("b", None), ("a", datetime(2020, 1, 2)), (None, datetime(2020, 1, 1)), ("a", datetime(2020, 1, 1)), ("", None), ("a", datetime(2020, 1, 1)), (None, None)])]
+    df = spark.createDataFrame(rows, "i long, s string, t timestamp")
+    key = lambda v: (v is None, v)
+    for order in (["s"], ["t", "s"], ["s", "t", "i"]):
+        for parts in (None, 1, 5):
+            got = sorted(assign_sequence(df, order, 10, parts).collect(), key=lambda r: r.seq)
+            assert [r.seq for r in got] == list(range(11, 19)) and {r.i for r in got} == set(range(8))
+            keys = [tuple(key(r[c]) for c in order) for r in got]
+            assert [[(n, v) for n, v in k] for k in keys] == sorted([[(n, v) for n, v in k] for k in keys], key=lambda k: [(n, v if not n else 0) for n, v in k])
+    same = spark.range(3000).selectExpr("7 as a", "id", "binary('x') as `a.b`")
+    assert sorted(r.seq for r in assign_sequence(same, ["a"], 0).collect()) == list(range(1, 3001))
+    assert assign_sequence(df.where("false"), ["s"], 0).collect() == []
+
+
+def test_two_writers(spark, tmp_path):
+    root = f"file://{tmp_path}/two"
+    a, b = Store.open(spark, root), Store.open(spark, root)
+    a.put(b"k1", b"a")
+    with pytest.raises(Conflict):
+        b.put(b"k2", b"b")
+    b.refresh()
+    assert b.get(b"k1") == b"a" and b.put(b"k2", b"b") == 2
+    changes = spark.createDataFrame([(b"k3", 1, b"c", 1)], "ukey binary, kt int, value binary, o long")
+    with pytest.raises(Conflict):
+        a.bulk_write(changes, ["o"])
+    a.refresh()
+    assert a.bulk_write(changes, ["o"]) == 3
+    with pytest.raises(Conflict):
+        b.put(b"k4", b"d")
+    b.refresh()
+    assert b.put(b"k4", b"d") == 4
+    assert scan(Store.open(spark, root)) == {b"k1": b"a", b"k2": b"b", b"k3": b"c", b"k4": b"d"}
+
+
+def test_vacuum_leaves_what_others_need(spark, tmp_path):
+    root = f"file://{tmp_path}/v"
+    a = Store.open(spark, root, Options(l0_pause=2))
+    df = spark.createDataFrame([(b"k%d" % i, 1, b"v", i) for i in range(20)], "ukey binary, kt int, value binary, o long")
+    a.bulk_write(df, ["o"])
+    reader = Store.open(spark, root, Options(read_only=True))
+    with reader.pinned() as held:
+        a.bulk_write(df, ["o"])
+        a.compact()
+        assert a.vacuum() == 0  # young
+        assert a.vacuum(0) >= 1  # the second write's table
+        assert reader.changes(version=held).count() == 20
+    assert a.vacuum(0) >= 1 and scan(a) == {b"k%d" % i: b"v" for i in range(20)}
+    # tables of a commit that is running
+    with a._tables(df.selectExpr("ukey", "o + 100 as seq", "cast(kt as byte) as kt", "value"), 0) as files:
+        assert Store.open(spark, root).vacuum(0) == 0
+        a._commit(Edit(add=files, seq=200, next_file=a.version.next_file + len(files)))
+    assert a.vacuum(0) == 0 and scan(a) == {b"k%d" % i: b"v" for i in range(20)}
+
+
+def test_snapshots_of_other_processes_hold_versions(spark, tmp_path):
+    root = f"file://{tmp_path}/p"
+    a = Store.open(spark, root, Options(l0_pause=2))
+    a.bulk_write(spark.createDataFrame([(b"k", 1, b"old", 1)], "ukey binary, kt int, value binary, o long"), ["o"])
+    other = Store.open(spark, root, Options(read_only=True))
+    with other.snapshot() as at:
+        a.bulk_write(spark.createDataFrame([(b"k", 1, b"new", 1)], "ukey binary, kt int, value binary, o long"), ["o"])
+        assert a.compact() >= 1
+        assert scan(a, at) == {b"k": b"old"} and scan(a) == {b"k": b"new"}
+    assert a.held() == []
+
+
+def test_outputs_end_at_grandparents(spark, tmp_path):
+    from tidemark.plans.manifest import Compaction, grandparent_cuts
+
+    grand = [File(2, 50 + i, 100, b"k%02d" % (10 * i), b"k%02d" % (10 * i + 9)) for i in range(10)]
+    assert grandparent_cuts(grand, 250) == [b"k19", b"k39", b"k59", b"k79"] and grandparent_cuts(grand, 5000) == [] and grandparent_cuts([], 1) == []
+    store = Store.open(spark, f"file://{tmp_path}/g", Options(split_grandparents=0))
+    rows = [(b"k%02d" % i, 1, b"v", i) for i in range(100)]
+    for half in (rows[::2], rows[1::2]):
+        store.bulk_write(spark.createDataFrame(half, "ukey binary, kt int, value binary, o long"), ["o"])
+    store._run(Compaction(0, store.version.level(0), [], grand))
+    made = store.version.level(1)
+    assert scan(store) == {k: v for k, _, v, _ in rows}
+    assert len(made) == 10 and all(sum(g.meets(f.min_key, f.max_key) for g in grand) == 1 for f in made)
+
+
+def test_tombstones_meet_ranges_without_nested_loops(spark):
+    from tidemark.operators.compaction import drop_tombstones, islands
+
+    pick = random.Random(9)
+    for n in (0, 1, 40):
+        ranges = [(lo, lo + pick.randrange(4)) for lo in (pick.randrange(300) for _ in range(n))]
+        rows = [(k, s, pick.choice([PUT, DELETE])) for s, k in enumerate(pick.choices(range(310), k=200))]
+        log, deep = spark.createDataFrame(rows, "ukey long, seq long, kt int"), spark.createDataFrame(ranges, "min_key long, max_key long")
+        out = drop_tombstones(log, 150, deep)
+        want = [r for r in rows if r[2] == PUT or r[1] > 150 or any(a <= r[0] <= b for a, b in ranges)]
+        assert sorted(map(tuple, out.collect())) == sorted(want)
+        assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+        merged = []
+        for a, b in sorted(ranges):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]), merged[-1][2] + 1)
+            else:
+                merged.append((a, b, 1))
+        assert sorted((r.island, r.min_key, r.max_key, r.n) for r in islands(deep, "min_key", "max_key").collect()) == [(i, *m) for i, m in enumerate(merged, 1)]

@@ -1,12 +1,15 @@
-"""Bloom filters: one FNV-1 hash a key, further probes by double hashing. Expressions, so they stay in the JVM."""
+"""Bloom filters: one FNV-1 hash a key, further probes by double hashing. Filters are built from Arrow batches, probed by expressions."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # 32-bit FNV-1.
 OFFSET, PRIME, MASK = 2166136261, 16777619, 0xFFFFFFFF
@@ -42,13 +45,66 @@ def probes(hash_: Column, bits: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod((hash_ + i * step).bitwiseAND(F.lit(MASK)), bits))
 
 
-def build_bits(keys: DataFrame, group: str, key: str, bits_per_key: int = 10) -> DataFrame:
-    """(group, n_bits, bits array of the set bit numbers): one filter a group, from its distinct keys."""
+def fnv1_of(keys: list[bytes]) -> np.ndarray:
+    """fnv1 of many keys: one step for each place of a byte."""
+    sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+    order = np.argsort(-sizes, kind="stable")
+    raw = np.frombuffer(b"".join(keys), np.uint8)
+    first = (np.cumsum(sizes) - sizes)[order]
+    h = np.full(len(keys), OFFSET, np.uint64)
+    longer = len(keys)
+    for i in range(int(sizes.max(initial=0))):
+        while longer and sizes[order[longer - 1]] <= i:
+            longer -= 1
+        h[:longer] = (h[:longer] * np.uint64(PRIME) & np.uint64(MASK)) ^ raw[first[:longer] + i]
+    out = np.empty(len(keys), np.uint64)
+    out[order] = h
+    return out
+
+
+def build_words(keys: DataFrame, group: str, key: str, bits_per_key: int = 10) -> DataFrame:
+    """(group, n_bits, word, bits): one filter a group, from its distinct keys; word i has the bits 64 i to 64 i + 63.
+
+    A task sets the bits of its keys in words; equal words are OR-ed before and after the shuffle.
+    """
     distinct = keys.select(group, key).distinct()
     sized = distinct.groupBy(group).agg(F.count(F.lit(1)).alias("n")).select(group, (F.ceil(F.greatest(F.lit(64), F.col("n") * bits_per_key) / 8) * 8).cast("long").alias("n_bits"))
     k = n_probes(bits_per_key)
-    bits = distinct.join(sized, group).select(group, "n_bits", F.explode(probes(fnv1_column(F.col(key)), F.col("n_bits"), k)).alias("bit"))
-    return bits.groupBy(group, "n_bits").agg(F.array_sort(F.collect_set("bit")).alias("bits"))
+    schema = T.StructType([T.StructField(group, keys.schema[group].dataType), *(T.StructField(n, T.LongType()) for n in ("n_bits", "word", "bits"))])
+
+    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks:
+            if not b.num_rows:
+                continue
+            groups = pa.array(b.column(0)).dictionary_encode()
+            code = groups.indices.fill_null(len(groups.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+            bits = b.column(1).to_numpy().astype(np.uint64)
+            h = fnv1_of(b.column(2).to_pylist())
+            step = (h >> np.uint64(17)) | ((h << np.uint64(15)) & np.uint64(MASK))
+            at = np.concatenate([((h + np.uint64(i) * step) & np.uint64(MASK)) % bits for i in range(k)])
+            code, bits = np.tile(code, k), np.tile(bits, k)
+            word = (at >> np.uint64(6)).astype(np.int64)
+            order = np.lexsort((word, code))
+            heads = np.flatnonzero(np.concatenate(([True], (np.diff(code[order]) != 0) | (np.diff(word[order]) != 0))))
+            made = np.bitwise_or.reduceat((np.uint64(1) << (at & np.uint64(63)))[order], heads)
+            one = order[heads]
+            kept = pa.array(b.column(0)).take(pa.array(one % b.num_rows))
+            yield pa.RecordBatch.from_arrays([kept, pa.array(bits[one].astype(np.int64)), pa.array(word[one]), pa.array(made.view(np.int64))], names=schema.names)
+
+    both = distinct.alias("k").join(sized.alias("s"), F.col(f"k.{group}").eqNullSafe(F.col(f"s.{group}")))
+    words = both.select(f"k.{group}", "s.n_bits", F.coalesce(F.col(f"k.{key}").cast("binary"), F.lit(b"")).alias("key")).mapInArrow(run, schema)
+    return words.groupBy(group, "n_bits", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def set_bits(word: Column, bits: Column) -> Column:
+    """The numbers of the bits set in a word, ascending."""
+    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", bits, i) == 1), lambda i: word * 64 + i)
+
+
+def build_bits(keys: DataFrame, group: str, key: str, bits_per_key: int = 10) -> DataFrame:
+    """(group, n_bits, bits array of the set bit numbers): build_words with a row a filter."""
+    words = build_words(keys, group, key, bits_per_key)
+    return words.groupBy(group, "n_bits").agg(F.array_sort(F.flatten(F.collect_list(set_bits(F.col("word"), F.col("bits"))))).alias("bits"))
 
 
 def may_hold(filters: DataFrame, asked: DataFrame, group: str, key: str, bits_per_key: int = 10) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.options import DELETE, PUT
+from tidemark.workspace import shared_dir
 
 FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -150,27 +151,37 @@ def binary_search(values: Column, probe: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(-(F.size(F.filter(values, lambda x: x < probe)) + 1)).cast("int")
 
 
-def assign_sequence(rows: DataFrame, order: list[str], base: int, parts: int = 16, name: str = "seq") -> DataFrame:
-    """base + 1, base + 2, ... in the given order, nulls last. Ranks come from range parts and their counts, not from one task.
+def assign_sequence(rows: DataFrame, order: list[str], base: int, parts: int | None = None, name: str = "seq") -> DataFrame:
+    """rows with base + 1, base + 2, ... in the given order: numbered_rows without the count."""
+    return numbered_rows(rows, order, base, parts, name)[0]
 
-    Rows are cut into value ranges of the first order column, whose counts meet in one small window; nulls are a part
-    of their own. The cuts of strings and binaries come from a bounded sample of the different values.
+
+def numbered_rows(rows: DataFrame, order: list[str], base: int, parts: int | None = None, name: str = "seq") -> tuple[DataFrame, int]:
+    """(rows with a number, how many): base + 1, base + 2, ... in the given order, nulls last; columns of any type that sorts. Rows that are equal in all of
+    order follow each other in any order.
+
+    Rows are cut into ranges of the whole order (and, for rows that are equal in it, of the place they were read at), sorted
+    and written with their place in their range; what is left is the sum of the counts of earlier ranges, a row a range.
+    Without `parts` the number of ranges is the session's, brought down to the size of the data by adaptive execution.
     """
-    first = order[0]
-    if isinstance(rows.schema[first].dataType, (T.StringType, T.BinaryType)):
-        some = rows.select(F.col(first).alias("c")).where("c is not null").distinct().orderBy(F.xxhash64("c"), "c").limit(64 * parts)
-        values = sorted((r["c"] for r in some.collect()), key=lambda v: v.encode() if isinstance(v, str) else bytes(v))
-        cuts = values[len(values) // parts :: max(1, len(values) // parts)]
-        cuts = [v if isinstance(v, str) else bytes(v) for v in cuts]
-    else:
-        cuts = rows.select(F.percentile_approx(first, [i / parts for i in range(1, parts)]).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    part = reduce(lambda a, c: a + (F.col(first) > F.lit(c)).cast("int"), cuts, F.lit(0))
-    cut = rows.withColumn("_part", F.coalesce(part, F.lit(len(cuts) + 1)))
-    over = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*[F.col(c).asc_nulls_last() for c in order]))
-    return cut.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn(name, F.lit(base) + F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
+    spark = rows.sparkSession
+    inner = [f"c{i}" for i in range(len(rows.columns))]
+    at = dict(zip(rows.columns, inner, strict=True))
+    keys = [F.col(at[c]).asc_nulls_last() for c in order]
+    plain = rows.toDF(*inner).withColumn("read", F.monotonically_increasing_id())
+    cut = plain.repartitionByRange(*([parts] if parts else []), *keys, F.col("read").asc()).sortWithinPartitions(*keys, "read")
+    place = F.monotonically_increasing_id()
+    path = shared_dir(spark, "sequence")
+    cut.select(*inner, F.shiftright(place, 33).cast("int").alias("range"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")).write.parquet(path)
+    done = spark.read.parquet(path)
+    counts = done.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a range
+    before, total = [], 0
+    for r in sorted(counts):
+        before.append((r["range"], total))
+        total += r["n"]
+    starts = F.broadcast(spark.createDataFrame(before, "range int, before long"))
+    numbered = done.join(starts, "range").select(*inner, (F.lit(base) + F.col("before") + F.col("place") + 1).alias("number"))
+    return numbered.select(*[F.col(i).alias(c) for c, i in at.items()], F.col("number").alias(name)), total
 
 
 def exploded_batch(batches: DataFrame, entries: str, base: str) -> DataFrame:

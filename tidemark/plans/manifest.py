@@ -250,6 +250,17 @@ def expand(version: Version, level: int, seeds: list[File], options: Options) ->
     return Compaction(level, inputs, below, [f for f in version.level(level + 2) if f.meets(*hull([*inputs, *below]))])
 
 
+def grandparent_cuts(grandparents: list[File], limit: int) -> list[Any]:
+    """Keys after which an output is cut, so that none meets much more than `limit` bytes two levels below."""
+    cuts, size = [], 0
+    for f, after in zip(grandparents, grandparents[1:], strict=False):
+        size += f.size
+        if size + after.size > limit:
+            cuts.append(f.max_key)
+            size = 0
+    return cuts
+
+
 def back_pressure(n_level0: int, has_room: bool, options: Options | None = None) -> str:
     """What a writer does: go on, wait a moment once, wait for a compaction, or start a new buffer."""
     o = options or Options()

@@ -3,15 +3,44 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+# The names of a directory's files.
+NAMES = {"manifest": r"^MANIFEST-(\d+)$", "journal": r"^(\d+)\.log$", "table": r"^(\d+)\.ldb$", "pending": r"^(\d+)\.temp$"}
+
+
+def file_name(kind: str, number: Column) -> Column:
+    """The name of the file of a kind and number; numbers have six digits at least."""
+    text = number.cast("string")
+    digits = F.lpad(text, F.greatest(F.lit(6), F.length(text)), F.lit("0"))
+    return F.concat(F.lit("MANIFEST-"), digits) if kind == "manifest" else F.concat(digits, F.lit({"journal": ".log", "table": ".ldb", "pending": ".temp"}[kind]))
+
+
+def file_kind(name: Column) -> Column:
+    """struct(kind, num) of a file name; nulls for other names."""
+    kind, num = F.lit(None).cast("string"), F.lit(None).cast("long")
+    for k, pattern in NAMES.items():
+        is_kind = name.rlike(pattern)
+        kind = F.when(is_kind, k).otherwise(kind)
+        num = F.when(is_kind, F.regexp_extract(name, pattern, 1).cast("long")).otherwise(num)
+    return F.struct(kind.alias("kind"), num.alias("num"))
+
+
+def highest(numbers: list[int]) -> int:
+    """The current one of several versions that are complete: the highest number; 0 without any."""
+    return max(numbers, default=0)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under spark.checkpoint.dir; a folder of our own only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -61,6 +90,15 @@ class Files:
                 raise FileExistsError(name) from None
             raise
 
+    def rename(self, name: str, to: str) -> None:
+        """FileExistsError if the new name is taken."""
+        if self.fs.exists(self.path(to)) or not self.fs.rename(self.path(name), self.path(to)):
+            raise FileExistsError(to)
+
+    def age(self, name: str) -> float:
+        """Seconds since the file was last written."""
+        return time.time() - self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
