@@ -3,7 +3,7 @@ import re
 import xxhash
 
 from tidemark.llm.components import components
-from tidemark.llm.simhash import fingerprint, keep_one, links, near_duplicates, op10_simhash
+from tidemark.llm.simhash import WordBits, fingerprint, keep_dissimilar, keep_one, links, near_duplicates, op10_simhash, segments_for
 
 
 def slow_fingerprint(text):
@@ -35,6 +35,35 @@ def slow_components(fps):
     return {k: root(k) for k, _ in fps}
 
 
+def slow_near(texts, width=5, least=0.8):
+    """{key: text} -> {key: least key of its group}, by comparing all texts with all"""
+    told = {}
+    for k, t in texts.items():
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", words)
+        grams = {i: tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else {}
+        told[k] = (len(words), grams, set(grams.values()))
+
+    def share(x, y):
+        n, grams, _ = x
+        return len({i + j for i, g in grams.items() if g in y[2] for j in range(len(g))}) / n if n and y[0] else float(n == y[0])
+
+    parent = {k: k for k in texts}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    keys = sorted(texts)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if (told[a][2] & told[b][2] or not told[a][0] + told[b][0]) and min(share(told[a], told[b]), share(told[b], told[a])) >= least:
+                p, q = sorted((root(a), root(b)))
+                parent[q] = p
+    return {k: root(k) for k in keys}
+
+
 def test_fingerprint():
     for t in ["", None, "One", "one TWO", "a b c", "É x\x1cy z\x0bq a b c d\x85e", "a b a b a b a b", "w " * 70_000]:
         assert fingerprint(t.encode() if t else None) == slow_fingerprint(t)
@@ -88,3 +117,47 @@ def test_keep_one(spark):
     got = sorted(((r.doc_id, r.text) for r in keep_one(docs).collect()), key=str)
     assert got == sorted([(1, None), (4, "ONE two three four"), (None, "alone here"), (9, "other words again"), (9, "quite another text")], key=str)
     assert keep_one(docs.where("false")).collect() == []
+
+
+def test_dissimilar_against_brute_force(spark):
+    """Copies with edited words go, whatever group they are in: at least 0.97 of all that a comparison of all pairs finds, and no others."""
+    import random
+
+    pick = random.Random(12)
+    word = lambda: "".join(pick.choices("abcdefghijkl", k=pick.randrange(2, 9)))
+    texts = {}
+    for k in range(0, 2000, 10):
+        words = [word() for _ in range(pick.choice([30, 80, 250]))]
+        texts[k] = " ".join(words)
+        for j in range(1, pick.choice([1, 2, 4, 9])):
+            rate = pick.choice([0.01, 0.03, 0.06, 0.3])
+            texts[k + j] = " ".join(word() if pick.random() < rate else w.upper() if pick.random() < 0.1 else w for w in words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept, want = {r.doc_id for r in keep_dissimilar(docs).collect()}, set(slow_near(texts).values())
+    gone, due = set(texts) - kept, set(texts) - want
+    assert len(gone & due) >= 0.97 * len(due) > 100 and not gone - due
+
+
+def test_dissimilar_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    due = set(texts) - set(slow_near(texts).values())
+    gone = set(texts) - {r.doc_id for r in keep_dissimilar(docs).collect()}
+    assert len(gone & due) >= 0.97 * len(due) > 100 and not gone - due
+
+
+def test_dissimilar_edges(spark):
+    rows = [(1, None, "x"), (2, "", "y"), (3, " \n", "z"), (5, "one two", "x"), (5, "one two", "z"), (4, "ONE  two", "x"), (4, "ONE  two", "x"), (None, "one two", "x"), (None, "alone here", "q"), (None, "alone here", "q"), (9, "other words again", "q"), (9, "quite another text", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rk string").withColumnRenamed("text", "body")
+    got = sorted(((r.doc_id, r.body) for r in keep_dissimilar(docs, text_col="body").collect()), key=str)
+    assert got == sorted([(1, None), (4, "ONE  two"), (None, "alone here"), (9, "other words again"), (9, "quite another text")], key=str)
+    assert keep_dissimilar(docs.where("false"), text_col="body").collect() == []
+
+
+def test_segments_and_word_bits():
+    assert segments_for(200_000)[0] == 24 and segments_for(10**10)[0] == 40
+    bits = WordBits(100)
+    bits.rows = 20
+    many = " ".join(f"w{i}" for i in range(300)).encode()
+    fresh = WordBits(100)
+    assert (bits.of(many) == fresh.of(many)).all() and not bits.of(b"").any() and (bits.of(b"a b") == bits.of(b"B a a")).all()

@@ -8,6 +8,8 @@ are flipped when a ball is enumerated, which halves it. Equal fingerprints are o
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_limits, as_bytes, tidy, written
+from tidemark.llm.common import arrow_limits, as_bytes, joined_by, tidy, written
 from tidemark.llm.components import components
 
 CHUNK = 1 << 15
@@ -71,14 +73,14 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows(doc_id, rk, fp) of the documents; classes(fp, best) with the first of a group's (no_id, doc_id, rk)."""
+    """(rows, classes): rows(doc_id, rk, fp) of the documents; classes(fp, best, refs) with the first of a group's (no_id, doc_id, rk)."""
     rows = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    least = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk")).alias("least")), "distinct")
+    least = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk")).alias("least"), F.count(F.lit(1)).alias("refs")), "distinct")
     pairs = written(links(least.select("fp"), bits), "links")
     found = components(pairs, "components").withColumnRenamed("node", "fp")
-    named = written(least.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+    named = written(least.join(found, "fp", "left").select("fp", "least", "refs", F.coalesce("root", "fp").alias("root")), "named")
     best = named.groupBy("root").agg(F.min("least").alias("best"))
-    return rows, named.join(best, "root").select("fp", "best")
+    return rows, written(named.join(best, "root").select("fp", "best", "refs"), "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
@@ -89,18 +91,198 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each give a row. A null doc_id takes part in linking but names no component (null where no id is in reach).
     """
     rows, classes = grouped(docs, id_col, text_col, width, bits)
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
+    return joined_by(rows, classes, ["fp"], "refs", rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
+
+
+def only(docs: DataFrame, keepers: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose (id, hash of the text) keepers(doc_id, rk) has; of rows that repeat it one stays. docs may have any columns."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, inner, strict=True))
+    plain = docs.toDF(*inner).withColumn("rk", F.xxhash64(at[text_col])).withColumn("doc_id", F.col(at[id_col]).cast("long"))
+    same = (F.col("d.rk") == F.col("k.rk")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+    keepers = keepers.groupBy("doc_id", "rk").agg(F.count(F.lit(1)).alias("n"))
+    kept = plain.alias("d").join(keepers.alias("k"), same).select("d.*", "k.n")
+    # rows that repeat a kept one in id and text: one of them stays
+    again = kept.where("n > 1").dropDuplicates(["doc_id", "rk"]) if keepers.where("n > 1").limit(1).count() else kept.where("false")
+    return kept.where("n = 1").unionByName(again).select(*[F.col(i).alias(c) for c, i in at.items()])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
     """docs with one document of each group: the one of least id (no id comes last; of equal ids the least text hash)."""
     rows, classes = grouped(docs, id_col, text_col, width, bits)
-    keepers = written(rows.join(classes, "fp").where((F.col("rk") == F.col("best.rk")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))).groupBy("doc_id", "rk").agg(F.count(F.lit(1)).alias("n")), "keepers")
-    keyed = docs.withColumn("_rk", F.xxhash64(text_col))
-    kept = keyed.alias("d").join(keepers.alias("k"), (F.col("_rk") == F.col("k.rk")) & F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("k.doc_id"))).select("d.*", "n")
-    # rows that repeat a kept one in id and text: one of them stays
-    again = kept.where("n > 1").dropDuplicates([id_col, "_rk"]) if keepers.where("n > 1").limit(1).count() else kept.where("false")
-    return kept.where("n = 1").unionByName(again).drop("_rk", "n")
+    every = joined_by(rows, classes, ["fp"], "refs", rows.count())
+    keepers = written(every.where((F.col("rk") == F.col("best.rk")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))).select("doc_id", "rk"), "keepers")
+    return only(docs, keepers, id_col, text_col)
+
+
+# ---- near duplicates by the similarity of their texts
+
+ERRORS = 0.1  # share of differing bits that is looked up with a chance of MISSED to fail
+MISSED = 0.01
+FAR_BITS = 0.3  # pairs with a greater share of differing bits are not looked at further
+
+
+def segments_for(n: int) -> tuple[int, int]:
+    """(bits of a segment, number of segments) for n texts: a segment of chance bits meets less than one other text in 64, and
+    a pair that differs in ERRORS of its bits agrees but for one bit in some segment with a chance of 1 - MISSED."""
+    bits = max(24, n.bit_length() + 6)
+    one = (1 - ERRORS) ** bits + bits * ERRORS * (1 - ERRORS) ** (bits - 1)
+    return bits, math.ceil(math.log(MISSED) / math.log(1 - one))
+
+
+class WordBits:
+    """SimHash of a text's different words, of any number of bits; the bits of words met before are kept, up to a bound in bytes."""
+
+    def __init__(self, bits: int):
+        self.bits, self.rows = bits, max(1024, (32 << 20) // bits)
+        self.number: dict[bytes, int] = {}
+        self.table = np.zeros((self.rows, bits), np.uint8)
+
+    def of(self, text: bytes) -> np.ndarray:
+        """0 or 1 for each bit: 1 if set in over half of the words."""
+        words = list(set(text.lower().split()))
+        ones = np.zeros(self.bits, np.int64)
+        step = min(1024, self.rows)
+        for k in range(0, len(words), step):
+            part = words[k : k + step]
+            new = [w for w in part if w not in self.number]
+            if len(self.number) + len(new) > self.rows:
+                self.number.clear()
+                new = part
+            for w in new:
+                raw = np.frombuffer(hashlib.shake_128(w).digest(-(-self.bits // 8)), np.uint8)
+                at = self.number[w] = len(self.number)
+                self.table[at] = np.unpackbits(raw)[: self.bits]
+            ones += self.table[[self.number[w] for w in part]].sum(axis=0, dtype=np.int64)
+        return (2 * ones > len(words)).astype(np.uint8)
+
+
+def shingles(text: bytes, width: int) -> list[bytes]:
+    words = text.lower().split()
+    return [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+
+
+def similarity(a: list[bytes], b: list[bytes], b_set: set[bytes], width: int) -> float:
+    """The share of the words of each text that stand in a shingle of the other: the smaller share of the two."""
+    out, a_set = 1.0, set(a)
+    for mine, other in ((a, b_set), (b, a_set)):
+        n = len(mine) + width - 1 if len(mine) > 1 else 1
+        covered = end = 0
+        for i, x in enumerate(mine):
+            if x in other:
+                stop = i + (width if len(mine) > 1 else 1)
+                covered += stop - max(end, i)
+                end = stop
+        out = min(out, covered / n) if mine and other else float(not mine and not other)
+    return out
+
+
+def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one document of each group of near duplicates: the one of least id (no id comes last; of equal ids the least text hash).
+
+    Two texts are near duplicates if at least `least` of the words of each stand in shingles of `width` words that both have.
+    Upper and lower case of A-Z and kinds of white space make no difference; null, empty and wordless texts are one group.
+
+    Candidates come from multi-index hashing of a long SimHash of the different words, which one changed word moves less than
+    any longer shingle's: a text looks up the Hamming balls of radius one of each segment. A bucket answers with one text, so a
+    group of any size gives a link or so a text and no pairs; a text that is not like the bucket's first tries its next, until
+    none is left. Complete distances are verified, then the similarity of the texts itself. A pair is missed with a chance
+    that ERRORS and MISSED bound for each of its bits' errors (see segments_for); none is linked that is not alike.
+    """
+    spark = docs.sparkSession
+    arrow_limits(spark)
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("rk"), F.xxhash64(F.lit("second"), text_col).alias("rk2"))
+    n_bits, n_segments = segments_for(plain.select("rk").count())
+    size = n_bits * n_segments
+
+    def long_fingerprints(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordBits(size)
+        for b in blocks:
+            made = [np.packbits(known.of(t or b"")).tobytes() for t in as_bytes(b.column(3))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.binary())], names=["doc_id", "rk", "rk2", "fp"])
+
+    rows = plain.select("doc_id", "rk", "rk2", "text").mapInArrow(tidy(long_fingerprints), "doc_id long, rk long, rk2 long, fp binary")
+    # equal texts are one node from here on
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk")
+    nodes = rows.groupBy("rk", "rk2").agg(F.min(first).alias("least"), F.first("fp").alias("fp"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "rk", "rk2", "least", "fp"), "near-nodes")
+
+    def entries(flips: bool):
+        """(node, k, key) of a node's own keys or of those with a set bit cleared."""
+
+        def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights = np.int64(1) << np.arange(n_bits - 1, -1, -1, dtype=np.int64)
+            for b in blocks:
+                if not b.num_rows:
+                    continue
+                raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                bits = np.unpackbits(raw, axis=1)[:, :size].reshape(b.num_rows, n_segments, n_bits)
+                keys = bits @ weights
+                if flips:
+                    row, k, bit = np.nonzero(bits)
+                    key = keys[row, k] - weights[bit]
+                else:
+                    row, k, key = np.repeat(np.arange(b.num_rows), n_segments), np.tile(np.arange(n_segments), b.num_rows), keys.reshape(-1)
+                node = b.column(0).to_numpy()[row]
+                for i in range(0, len(row), 1 << 16):
+                    part = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(k[part].astype(np.int32)), pa.array(key[part])], names=["node", "k", "key"])
+
+        return nodes.select("node", "fp").mapInArrow(tidy(run), "node long, k int, key long")
+
+    own = written(entries(False), "near-keys")
+    reps = own.groupBy("k", "key").agg(F.min("node").alias("rep"))
+    met = own.withColumn("own", F.lit(True)).unionByName(entries(True).withColumn("own", F.lit(False)))
+    tried = written(met.join(reps, ["k", "key"]).where("node <> rep"), "near-tried")
+    linked = None
+    for _ in range(1000):
+        alike = written(verified(plain, nodes, tried.select("node", "rep").distinct(), size, width, least), "near-alike")
+        linked = alike if linked is None else written(linked.unionByName(alike), "near-links")
+        failed = tried.join(alike, ["node", "rep"], "left_anti").drop("rep")
+        reps = failed.where("own").groupBy("k", "key").agg(F.min("node").alias("rep"))
+        tried = written(failed.join(reps, ["k", "key"]).where("node <> rep"), "near-tried")
+        if not tried.limit(1).count():
+            break
+    else:
+        raise RuntimeError("buckets did not come to an end")
+    found = components(linked.select(F.col("node").alias("a"), F.col("rep").alias("b")), "near-components")
+    named = nodes.select("node", "least").join(found, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    best = named.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.rk")
+    same = (F.col("p.rk") == F.col("b.rk")) & F.col("p.doc_id").eqNullSafe(F.col("b.doc_id"))
+    keepers = written(plain.select("doc_id", "rk").alias("p").join(best.alias("b"), same).select("p.doc_id", "p.rk"), "near-keepers")
+    return only(docs, keepers, id_col, text_col)
+
+
+def verified(plain: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, width: int, least: float) -> DataFrame:
+    """pairs(node, rep) that are near duplicates: first by complete distance, then by their texts."""
+    fp = nodes.select("node", "fp")
+    both = pairs.join(fp, "node").join(fp.select(F.col("node").alias("rep"), F.col("fp").alias("rep_fp")), "rep").select("node", "rep", "fp", "rep_fp")
+
+    def near(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks:
+            if b.num_rows:
+                a, c = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
+                keep = pa.array(np.bitwise_count(a ^ c).sum(axis=1) <= FAR_BITS * size)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["node", "rep"]).filter(keep)
+
+    close = written(both.mapInArrow(tidy(near), "node long, rep long"), "near-close")
+    wanted = close.select("node").unionByName(close.select(F.col("rep").alias("node"))).distinct().join(nodes.select("node", "rk", "rk2", "least"), "node")
+    one = (F.col("p.rk") == F.col("w.rk")) & (F.col("p.rk2") == F.col("w.rk2")) & F.col("p.doc_id").eqNullSafe(F.col("w.least.doc_id"))
+    texts = written(plain.alias("p").join(wanted.alias("w"), one).select("w.node", "p.text").dropDuplicates(["node"]), "near-texts")
+    read = close.join(texts, "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep").select("node", "rep", "text", "rep_text")
+
+    def alike(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, other, other_set = None, [], set()
+        for b in blocks:
+            keep = []
+            for rep, a, c in zip(b.column(1).to_pylist(), as_bytes(b.column(2)), as_bytes(b.column(3)), strict=True):
+                if rep != last:
+                    last, other = rep, shingles(c or b"", width)
+                    other_set = set(other)
+                keep.append(similarity(shingles(a or b"", width), other, other_set, width) >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["node", "rep"]).filter(pa.array(keep, pa.bool_()))
+
+    return read.mapInArrow(tidy(alike), "node long, rep long")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
