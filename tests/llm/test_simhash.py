@@ -155,7 +155,7 @@ def test_dissimilar_edges(spark):
 
 
 def test_segments_and_word_bits():
-    assert segments_for(200_000)[0] == 24 and segments_for(10**10)[0] == 40
+    assert segments_for(200_000)[0] == 29 and segments_for(10**10)[0] == 45
     bits = WordBits(100)
     bits.rows = 20
     many = " ".join(f"w{i}" for i in range(300)).encode()

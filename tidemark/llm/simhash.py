@@ -9,13 +9,14 @@ are flipped when a ball is enumerated, which halves it. Equal fingerprints are o
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_limits, as_bytes, joined_by, tidy, written
@@ -123,9 +124,9 @@ FAR_BITS = 0.3  # pairs with a greater share of differing bits are not looked at
 
 
 def segments_for(n: int) -> tuple[int, int]:
-    """(bits of a segment, number of segments) for n texts: a segment of chance bits meets less than one other text in 64, and
-    a pair that differs in ERRORS of its bits agrees but for one bit in some segment with a chance of 1 - MISSED."""
-    bits = max(24, n.bit_length() + 6)
+    """(bits of a segment, number of segments) for n texts: the balls of a segment of chance bits meet few other texts, whatever
+    n, and a pair that differs in ERRORS of its bits agrees but for one bit in some segment with a chance of 1 - MISSED."""
+    bits = max(24, n.bit_length() + 11)
     one = (1 - ERRORS) ** bits + bits * ERRORS * (1 - ERRORS) ** (bits - 1)
     return bits, math.ceil(math.log(MISSED) / math.log(1 - one))
 
@@ -149,10 +150,11 @@ class WordBits:
             if len(self.number) + len(new) > self.rows:
                 self.number.clear()
                 new = part
-            for w in new:
-                raw = np.frombuffer(hashlib.shake_128(w).digest(-(-self.bits // 8)), np.uint8)
-                at = self.number[w] = len(self.number)
-                self.table[at] = np.unpackbits(raw)[: self.bits]
+            if new:
+                n, first = -(-self.bits // 8), len(self.number)
+                raw = np.frombuffer(b"".join([hashlib.shake_128(w).digest(n) for w in new]), np.uint8).reshape(len(new), n)
+                self.table[first : first + len(new)] = np.unpackbits(raw, axis=1)[:, : self.bits]
+                self.number.update(zip(new, range(first, first + len(new)), strict=True))
             ones += self.table[[self.number[w] for w in part]].sum(axis=0, dtype=np.int64)
         return (2 * ones > len(words)).astype(np.uint8)
 
@@ -184,10 +186,12 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Upper and lower case of A-Z and kinds of white space make no difference; null, empty and wordless texts are one group.
 
     Candidates come from multi-index hashing of a long SimHash of the different words, which one changed word moves less than
-    any longer shingle's: a text looks up the Hamming balls of radius one of each segment. A bucket answers with one text, so a
-    group of any size gives a link or so a text and no pairs; a text that is not like the bucket's first tries its next, until
-    none is left. Complete distances are verified, then the similarity of the texts itself. A pair is missed with a chance
-    that ERRORS and MISSED bound for each of its bits' errors (see segments_for); none is linked that is not alike.
+    any longer shingle's: a text looks up the Hamming balls of radius one of each segment. A bucket answers with one text, and
+    links within what is one group already are not looked at, so a group of any size gives a few links a text and no pairs.
+    Texts that turn out not to be in the group of their bucket's first try its next ones, four times as many each time, until
+    none is left. Complete distances are
+    verified, then the similarity of the texts itself. A pair is missed with a chance that ERRORS and MISSED bound (see
+    segments_for); none is linked that is not alike.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
@@ -207,8 +211,8 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = rows.groupBy("rk", "rk2").agg(F.min(first).alias("least"), F.first("fp").alias("fp"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "rk", "rk2", "least", "fp"), "near-nodes")
 
-    def entries(flips: bool):
-        """(node, k, key) of a node's own keys or of those with a set bit cleared."""
+    def entries(flips: bool) -> DataFrame:
+        """(node, slot) of a node's own keys or of those with a set bit cleared; slot: segment and key."""
 
         def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights = np.int64(1) << np.arange(n_bits - 1, -1, -1, dtype=np.int64)
@@ -217,42 +221,58 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     continue
                 raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
                 bits = np.unpackbits(raw, axis=1)[:, :size].reshape(b.num_rows, n_segments, n_bits)
-                keys = bits @ weights
+                slots = bits @ weights + (np.arange(n_segments, dtype=np.int64) << n_bits)
                 if flips:
                     row, k, bit = np.nonzero(bits)
-                    key = keys[row, k] - weights[bit]
+                    slot = slots[row, k] - weights[bit]
                 else:
-                    row, k, key = np.repeat(np.arange(b.num_rows), n_segments), np.tile(np.arange(n_segments), b.num_rows), keys.reshape(-1)
+                    row, slot = np.repeat(np.arange(b.num_rows), n_segments), slots.reshape(-1)
                 node = b.column(0).to_numpy()[row]
                 for i in range(0, len(row), 1 << 16):
-                    part = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(k[part].astype(np.int32)), pa.array(key[part])], names=["node", "k", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i : i + (1 << 16)]), pa.array(slot[i : i + (1 << 16)])], names=["node", "slot"])
 
-        return nodes.select("node", "fp").mapInArrow(tidy(run), "node long, k int, key long")
+        return nodes.select("node", "fp").mapInArrow(tidy(run), "node long, slot long")
 
-    own = written(entries(False), "near-keys")
-    reps = own.groupBy("k", "key").agg(F.min("node").alias("rep"))
+    own = entries(False)
     met = own.withColumn("own", F.lit(True)).unionByName(entries(True).withColumn("own", F.lit(False)))
-    tried = written(met.join(reps, ["k", "key"]).where("node <> rep"), "near-tried")
-    linked = None
-    for _ in range(1000):
-        alike = written(verified(plain, nodes, tried.select("node", "rep").distinct(), size, width, least), "near-alike")
-        linked = alike if linked is None else written(linked.unionByName(alike), "near-links")
-        failed = tried.join(alike, ["node", "rep"], "left_anti").drop("rep")
-        reps = failed.where("own").groupBy("k", "key").agg(F.min("node").alias("rep"))
-        tried = written(failed.join(reps, ["k", "key"]).where("node <> rep"), "near-tried")
-        if not tried.limit(1).count():
+    first_of = own.groupBy("slot").agg(F.min("node").alias("rep"))
+    linked = written(nodes.select("node", F.col("node").alias("rep")).where("false"), "near-links")
+    roots = written(linked.select("node", F.col("node").alias("root")), "near-roots")
+    for level in itertools.count(1):
+        tried = written(met.join(first_of, "slot").where("node <> rep"), "near-tried")
+        # first a text's least candidate, which brings most of a group together; then a candidate for any two groups; then what is still apart
+        least_one = written(tried.groupBy("node").agg(F.min("rep").alias("rep")), "near-first")
+        others = written(tried.select("node", "rep").distinct().join(least_one, ["node", "rep"], "left_anti"), "near-others")
+        for asked, one in ((least_one, False), (others, True), (others, False)):
+            pairs = apart(asked, roots, one)
+            alike = written(verified(plain, nodes, pairs, size, width, least), "near-alike")
+            if alike.limit(1).count():
+                linked = written(linked.unionByName(alike), "near-links")
+                roots = written(components(linked.select(F.col("node").alias("a"), F.col("rep").alias("b")), "near-components"), "near-roots")
+        # a text that has answered for its bucket has met all of it
+        answered = tried.select("slot", F.col("rep").alias("node")).distinct()
+        met = written(apart(tried, roots).select("node", "slot", "own").distinct().join(answered, ["node", "slot"], "left_anti"), "near-left")
+        nth = F.row_number().over(Window.partitionBy("slot").orderBy("rep"))
+        first_of = met.where("own").select("slot", F.col("node").alias("rep")).withColumn("nth", nth).where(F.col("nth") <= 4**level).drop("nth")
+        if not met.where("own").limit(1).count():
             break
-    else:
-        raise RuntimeError("buckets did not come to an end")
-    found = components(linked.select(F.col("node").alias("a"), F.col("rep").alias("b")), "near-components")
-    named = nodes.select("node", "least").join(found, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    named = nodes.select("node", "least").join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     best = named.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.rk")
     same = (F.col("p.rk") == F.col("b.rk")) & F.col("p.doc_id").eqNullSafe(F.col("b.doc_id"))
     keepers = written(plain.select("doc_id", "rk").alias("p").join(best.alias("b"), same).select("p.doc_id", "p.rk"), "near-keepers")
     return only(docs, keepers, id_col, text_col)
 
 
+def apart(pairs: DataFrame, roots: DataFrame, one: bool = False) -> DataFrame:
+    """The rows of pairs(node, rep, ...) whose texts are not in one group yet; with one, a row for any two groups.
+    roots(node, root) has the texts with a link."""
+    of_node, of_rep = roots.withColumnRenamed("root", "_a"), roots.select(F.col("node").alias("rep"), F.col("root").alias("_b"))
+    both = pairs.join(of_node, "node", "left").join(of_rep, "rep", "left").withColumn("_a", F.coalesce("_a", "node")).withColumn("_b", F.coalesce("_b", "rep")).where("_a <> _b")
+    if one:
+        both = both.groupBy(F.least("_a", "_b"), F.greatest("_a", "_b")).agg(F.min(F.struct(*pairs.columns)).alias("_row")).select("_row.*")
+    return both.select(*pairs.columns)
+
+
 def verified(plain: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, width: int, least: float) -> DataFrame:
     """pairs(node, rep) that are near duplicates: first by complete distance, then by their texts."""
     fp = nodes.select("node", "fp")
@@ -266,7 +286,8 @@ def verified(plain: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, wi
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["node", "rep"]).filter(keep)
 
     close = written(both.mapInArrow(tidy(near), "node long, rep long"), "near-close")
-    wanted = close.select("node").unionByName(close.select(F.col("rep").alias("node"))).distinct().join(nodes.select("node", "rk", "rk2", "least"), "node")
+    wanted = close.select("node").unionByName(close.select(F.col("rep").alias("node"))).distinct()
+    wanted = written(wanted.join(nodes.select("node", "rk", "rk2", "least"), "node"), "near-wanted")  # where that is small, it goes to the texts
     one = (F.col("p.rk") == F.col("w.rk")) & (F.col("p.rk2") == F.col("w.rk2")) & F.col("p.doc_id").eqNullSafe(F.col("w.least.doc_id"))
     texts = written(plain.alias("p").join(wanted.alias("w"), one).select("w.node", "p.text").dropDuplicates(["node"]), "near-texts")
     read = close.join(texts, "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep").select("node", "rep", "text", "rep_text")
