@@ -187,7 +187,8 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Candidates come from multi-index hashing of a long SimHash of the different words, which one changed word moves less than
     any longer shingle's: a text looks up the Hamming balls of radius one of each segment. A bucket answers with one text, and
-    links within what is one group already are not looked at, so a group of any size gives a few links a text and no pairs.
+    links within what is one group already are not looked at, so a group of any size gives a few links a text and no pairs:
+    the first few segments bring most of each group together, and from then on a bucket asks only those outside its first's group.
     Texts that turn out not to be in the group of their bucket's first try its next ones, four times as many each time, until
     none is left. Complete distances are
     verified, then the similarity of the texts itself. A pair is missed with a chance that ERRORS and MISSED bound (see
@@ -211,44 +212,61 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = rows.groupBy("rk", "rk2").agg(F.min(first).alias("least"), F.first("fp").alias("fp"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "rk", "rk2", "least", "fp"), "near-nodes")
 
-    def entries(flips: bool) -> DataFrame:
-        """(node, slot) of a node's own keys or of those with a set bit cleared; slot: segment and key."""
+    def entries(roots: DataFrame, segments: slice, flips: bool) -> DataFrame:
+        """(node, root, slot) of the keys of a node's segments or of those keys with a set bit cleared; slot: segment and key."""
+        numbers = np.arange(n_segments, dtype=np.int64)[segments]
 
         def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights = np.int64(1) << np.arange(n_bits - 1, -1, -1, dtype=np.int64)
             for b in blocks:
                 if not b.num_rows:
                     continue
-                raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                bits = np.unpackbits(raw, axis=1)[:, :size].reshape(b.num_rows, n_segments, n_bits)
-                slots = bits @ weights + (np.arange(n_segments, dtype=np.int64) << n_bits)
+                raw = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                bits = np.unpackbits(raw, axis=1)[:, :size].reshape(b.num_rows, n_segments, n_bits)[:, segments]
+                slots = bits @ weights + (numbers << n_bits)
                 if flips:
                     row, k, bit = np.nonzero(bits)
                     slot = slots[row, k] - weights[bit]
                 else:
-                    row, slot = np.repeat(np.arange(b.num_rows), n_segments), slots.reshape(-1)
-                node = b.column(0).to_numpy()[row]
+                    row, slot = np.repeat(np.arange(b.num_rows), len(numbers)), slots.reshape(-1)
+                columns = [b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], slot]
                 for i in range(0, len(row), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[i : i + (1 << 16)]), pa.array(slot[i : i + (1 << 16)])], names=["node", "slot"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["node", "root", "slot"])
 
-        return nodes.select("node", "fp").mapInArrow(tidy(run), "node long, slot long")
+        of_group = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
+        return of_group.mapInArrow(tidy(run), "node long, root long, slot long")
+
+    def candidates(roots: DataFrame, segments: slice) -> DataFrame:
+        """(node, slot, own, rep): a bucket answers with its least node; who is of its group by now is not asked again."""
+        own = entries(roots, segments, False)
+        met = own.withColumn("own", F.lit(True)).unionByName(entries(roots, segments, True).withColumn("own", F.lit(False)))
+        first_of = own.groupBy("slot").agg(F.min(F.struct("node", "root")).alias("first")).select("slot", F.col("first.node").alias("rep"), F.col("first.root").alias("rep_root"))
+        return met.join(first_of, "slot").where("root <> rep_root").select("node", "slot", "own", "rep")
 
-    own = entries(False)
-    met = own.withColumn("own", F.lit(True)).unionByName(entries(True).withColumn("own", F.lit(False)))
-    first_of = own.groupBy("slot").agg(F.min("node").alias("rep"))
     linked = written(nodes.select("node", F.col("node").alias("rep")).where("false"), "near-links")
     roots = written(linked.select("node", F.col("node").alias("root")), "near-roots")
+
+    def link(asked: DataFrame) -> None:
+        """Links those of asked(node, rep) that are near duplicates."""
+        nonlocal linked, roots
+        alike = written(verified(plain, nodes, asked, size, width, least), "near-alike")
+        if alike.limit(1).count():
+            linked = written(linked.unionByName(alike), "near-links")
+            roots = written(components(linked.select(F.col("node").alias("a"), F.col("rep").alias("b")), "near-components"), "near-roots")
+
+    # few segments bring most of a group together, so that all segments bring what is still apart and not each member many times
+    at = 0
+    while at < n_segments // 3:
+        link(written(candidates(roots, slice(at, 2 * at + 1)).groupBy("node").agg(F.min("rep").alias("rep")), "near-first"))
+        at = 2 * at + 1
     for level in itertools.count(1):
-        tried = written(met.join(first_of, "slot").where("node <> rep"), "near-tried")
-        # first a text's least candidate, which brings most of a group together; then a candidate for any two groups; then what is still apart
+        tried = candidates(roots, slice(None)) if level == 1 else met.join(first_of, "slot").where("node <> rep")
+        tried = written(tried, "near-tried")
+        # first a text's least candidate; then a candidate for any two groups; then what is still apart
         least_one = written(tried.groupBy("node").agg(F.min("rep").alias("rep")), "near-first")
         others = written(tried.select("node", "rep").distinct().join(least_one, ["node", "rep"], "left_anti"), "near-others")
         for asked, one in ((least_one, False), (others, True), (others, False)):
-            pairs = apart(asked, roots, one)
-            alike = written(verified(plain, nodes, pairs, size, width, least), "near-alike")
-            if alike.limit(1).count():
-                linked = written(linked.unionByName(alike), "near-links")
-                roots = written(components(linked.select(F.col("node").alias("a"), F.col("rep").alias("b")), "near-components"), "near-roots")
+            link(apart(asked, roots, one))
         # a text that has answered for its bucket has met all of it
         answered = tried.select("slot", F.col("rep").alias("node")).distinct()
         met = written(apart(tried, roots).select("node", "slot", "own").distinct().join(answered, ["node", "slot"], "left_anti"), "near-left")
