@@ -78,3 +78,13 @@ def test_whole_table_against_the_library(spark, pair):
         r = got[d.doc_id]
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(pair[1].decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_caches_are_bounded_by_bytes(pair):
+    """Long runs are not kept, many short pieces push out the older ones; ids stay those of the library."""
+    pick, ours = random.Random(5), ByteBPE(PATH, limit_bytes=20_000)
+    run = lambda n: "".join(pick.choices("abcdefXYZ", k=n))
+    for _ in range(60):
+        same((ours, pair[1]), " ".join([run(3000), "and", *(run(pick.randrange(1, 60)) for _ in range(100)), run(257), run(256)]))
+        assert all(len(p) <= 256 for p in ours.known) and ours.held == sum(len(p) + len(v) for p, v in ours.known.items())
+        assert ours.held + sum(map(len, ours.old)) < 140_000

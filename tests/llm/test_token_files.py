@@ -79,3 +79,19 @@ def test_random_texts_with_a_small_cache():
             texts.append(pick.choice([None, "", " ", "x"]) if not words else "".join(w + pick.choice([" ", "\n", "\t ", "\r\n"]) for w in words))
         for t, ids in zip(texts, cache.encode([t if t is None else t.encode() for t in texts]), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_cache_is_bounded_by_bytes():
+    """Many long pieces are forgotten in time; ids stay those of the library."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.token_files import WordCache
+
+    lib, cache, pick = Tokenizer.from_file(PATH), WordCache(PATH, limit_bytes=30_000), random.Random(4)
+    for _ in range(40):
+        texts = [" ".join("".join(pick.choices("abcdef12+", k=pick.choice([3, 9, 40, 900]))) for _ in range(20)) for _ in range(5)]
+        got = cache.encode([t.encode() for t in texts])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert cache.long_bytes == sum(map(len, cache.long)) <= 30_000 + 100_000 and cache.pool.nbytes < 400_000

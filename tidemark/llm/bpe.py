@@ -24,6 +24,8 @@ from tidemark.llm.common import arrow_limits, tidy
 # Fixed value: the pattern that cuts text into pieces before the merges of this family of vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+LONG = 256  # characters; a longer piece is encoded where it stands and not kept
+
 
 def byte_names() -> dict[str, int]:
     """The printable character by which byte-level vocabularies name each byte."""
@@ -37,7 +39,7 @@ def byte_names() -> dict[str, int]:
 class ByteBPE:
     """Encoder and decoder of a byte-level vocabulary file. Ranks number the bytes first, then the merges in order."""
 
-    def __init__(self, path: str, limit: int = 120_000):
+    def __init__(self, path: str, limit: int = 120_000, limit_bytes: int = 16 << 20):
         import ahocorasick
         import regex
 
@@ -69,8 +71,8 @@ class ByteBPE:
         self.cut = regex.compile(PIECES)
         self.at_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.stable: dict[int, bool] = {}
-        # pieces already encoded, in two generations of at most limit: what is still met moves to the young one
-        self.limit, self.known, self.old = limit, {}, {}
+        # pieces already encoded, in two generations bounded by number and bytes: what is still met moves to the young one
+        self.limit, self.limit_bytes, self.known, self.old, self.held = limit, limit_bytes, {}, {}, 0
 
     def compatible(self, a: int, b: int) -> bool:
         """Do the merges leave token a followed by token b as they are?
@@ -138,16 +140,23 @@ class ByteBPE:
             return b"".join(map(known.__getitem__, pieces))
         except KeyError:
             pass
-        if len(known) > self.limit:
-            known, self.old = {}, known
-            self.known = known
+        if len(known) > self.limit or self.held > self.limit_bytes:
+            # one text can bring more than a generation: that is not kept
+            self.old = known if self.held <= 2 * self.limit_bytes else {}
+            self.known = known = {}
+            self.held = 0
         if len(self.stable) > 2 * self.limit:
             self.stable.clear()
-        ids, old = self.id, self.old
+        ids, old, once = self.id, self.old, {}
         for p in pieces:
-            if p not in known:
-                known[p] = old.get(p) or np.array([ids[r] for r in self.piece(p.encode().decode("latin-1"))], "<u4").tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+            if p not in known and p not in once:
+                made = old.get(p) or np.array([ids[r] for r in self.piece(p.encode().decode("latin-1"))], "<u4").tobytes()
+                if len(p) > LONG:
+                    once[p] = made
+                else:
+                    known[p] = made
+                    self.held += len(p) + len(made)
+        return b"".join([known.get(p) or once[p] for p in pieces] if once else map(known.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text; bytes that are no character become the replacement character."""

@@ -126,10 +126,10 @@ class WordCache:
     ids are those of its pieces in order. A batch of texts is cut into pieces as arrays; pieces of up to 16 bytes are
     two 64-bit numbers, which makes finding the different ones and those already known exact and cheap. New pieces go to
     the library in long lines; longer pieces and those with special tokens are kept in a dictionary. When more than
-    `limit` pieces are known, those met least recently go.
+    `limit` pieces or `limit_bytes` bytes of them or of their ids are known, those met least recently go.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 1_000_000, limit_bytes: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -143,14 +143,14 @@ class WordCache:
         self.word_end = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         if suffix:
             self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-        self.limit, self.now = limit, 0
+        self.limit, self.limit_bytes, self.now = limit, limit_bytes, 0
         self.clear()
 
     def clear(self) -> None:
         """h: hash, in order; a, b, n: the piece; start, count: its place in the pool of ids; used: the last batch with it."""
         self.h, self.a, self.b = (np.zeros(0, np.uint64) for _ in range(3))
         self.n, self.start, self.count, self.used = (np.zeros(0, np.int64) for _ in range(4))
-        self.pool, self.long = np.zeros(0, np.uint32), {}
+        self.pool, self.long, self.long_bytes = np.zeros(0, np.uint32), {}, 0
         (self.dot, self.comma), _ = self.encode_new([b".", b","])
 
     def ids_of(self, line: bytes) -> np.ndarray:
@@ -193,7 +193,7 @@ class WordCache:
         if not texts:
             return []
         self.now += 1
-        if len(self.h) > self.limit or len(self.long) > self.limit // 8:
+        if len(self.h) > self.limit or len(self.long) > self.limit // 8 or max(self.long_bytes, self.pool.nbytes) > self.limit_bytes:
             self.forget()
         sizes = np.array([len(t) + 1 if t else 1 for t in texts])
         joined = b" ".join([t or b"" for t in texts]).translate(SPACES) + b" "
@@ -227,6 +227,7 @@ class WordCache:
         rest = np.flatnonzero((n > 16) | special)
         pieces = [joined_canon[x:y] for x, y in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)] if len(rest) and (joined_canon := canon.tobytes()) else []
         fresh = list(dict.fromkeys(w for w in pieces if w not in self.long))
+        self.long_bytes += sum(map(len, fresh))
         alone = [w for w in fresh if any(t in w for t in self.specials)]
         together = [w for w in fresh if w not in set(alone)] if alone else fresh
         self.long.update(zip(together, zip(*(x.tolist() for x in self.encode_new(together)), strict=True), strict=True))
@@ -348,7 +349,7 @@ def read_token_files(spark, path: str) -> DataFrame:
         for b in blocks:
             for part, nulls, keys, data, before_it in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 box = Container(data)
-                ends = box.ends.all().astype(np.int64)
+                ends = np.fromiter((box.ends.get(i) for i in range(box.n_docs)), np.int64, box.n_docs)
                 starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
                 flat = box.ids.astype("<u4").tobytes()
                 ids = [flat[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
