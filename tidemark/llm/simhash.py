@@ -188,7 +188,7 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Candidates come from multi-index hashing of a long SimHash of the different words, which one changed word moves less than
     any longer shingle's: a text looks up the Hamming balls of radius one of each segment. A bucket answers with one text, and
     links within what is one group already are not looked at, so a group of any size gives a few links a text and no pairs:
-    the first few segments bring most of each group together, and from then on a bucket asks only those outside its first's group.
+    equal segments bring most of each group together, and from then on a bucket asks only those outside its first's group.
     Texts that turn out not to be in the group of their bucket's first try its next ones, four times as many each time, until
     none is left. Complete distances are
     verified, then the similarity of the texts itself. A pair is missed with a chance that ERRORS and MISSED bound (see
@@ -219,27 +219,28 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights = np.int64(1) << np.arange(n_bits - 1, -1, -1, dtype=np.int64)
             for b in blocks:
-                if not b.num_rows:
-                    continue
-                raw = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                bits = np.unpackbits(raw, axis=1)[:, :size].reshape(b.num_rows, n_segments, n_bits)[:, segments]
-                slots = bits @ weights + (numbers << n_bits)
-                if flips:
-                    row, k, bit = np.nonzero(bits)
-                    slot = slots[row, k] - weights[bit]
-                else:
-                    row, slot = np.repeat(np.arange(b.num_rows), len(numbers)), slots.reshape(-1)
-                columns = [b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], slot]
-                for i in range(0, len(row), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["node", "root", "slot"])
+                for first in range(0, b.num_rows, 256):
+                    some = b.slice(first, 256)
+                    raw = np.frombuffer(b"".join(some.column(2).to_pylist()), np.uint8).reshape(some.num_rows, -1)
+                    bits = np.unpackbits(raw, axis=1)[:, :size].reshape(some.num_rows, n_segments, n_bits)[:, segments]
+                    slots = bits @ weights + (numbers << n_bits)
+                    if flips:
+                        row, k, bit = np.nonzero(bits)
+                        slot = slots[row, k] - weights[bit]
+                    else:
+                        row, slot = np.repeat(np.arange(some.num_rows), len(numbers)), slots.reshape(-1)
+                    columns = [some.column(0).to_numpy()[row], some.column(1).to_numpy()[row], slot]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "root", "slot"])
 
         of_group = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
         return of_group.mapInArrow(tidy(run), "node long, root long, slot long")
 
-    def candidates(roots: DataFrame, segments: slice) -> DataFrame:
+    def candidates(roots: DataFrame, segments: slice, balls: bool) -> DataFrame:
         """(node, slot, own, rep): a bucket answers with its least node; who is of its group by now is not asked again."""
         own = entries(roots, segments, False)
-        met = own.withColumn("own", F.lit(True)).unionByName(entries(roots, segments, True).withColumn("own", F.lit(False)))
+        met = own.withColumn("own", F.lit(True))
+        if balls:
+            met = met.unionByName(entries(roots, segments, True).withColumn("own", F.lit(False)))
         first_of = own.groupBy("slot").agg(F.min(F.struct("node", "root")).alias("first")).select("slot", F.col("first.node").alias("rep"), F.col("first.root").alias("rep_root"))
         return met.join(first_of, "slot").where("root <> rep_root").select("node", "slot", "own", "rep")
 
@@ -254,13 +255,11 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             linked = written(linked.unionByName(alike), "near-links")
             roots = written(components(linked.select(F.col("node").alias("a"), F.col("rep").alias("b")), "near-components"), "near-roots")
 
-    # few segments bring most of a group together, so that all segments bring what is still apart and not each member many times
-    at = 0
-    while at < n_segments // 3:
-        link(written(candidates(roots, slice(at, 2 * at + 1)).groupBy("node").agg(F.min("rep").alias("rep")), "near-first"))
-        at = 2 * at + 1
+    # equal segments bring most of a group together, so that the balls bring what is still apart and not each member many times
+    for some in (slice(0, n_segments // 4), slice(n_segments // 4, None)):
+        link(written(candidates(roots, some, False).groupBy("node").agg(F.min("rep").alias("rep")), "near-first"))
     for level in itertools.count(1):
-        tried = candidates(roots, slice(None)) if level == 1 else met.join(first_of, "slot").where("node <> rep")
+        tried = candidates(roots, slice(None), True) if level == 1 else met.join(first_of, "slot").where("node <> rep")
         tried = written(tried, "near-tried")
         # first a text's least candidate; then a candidate for any two groups; then what is still apart
         least_one = written(tried.groupBy("node").agg(F.min("rep").alias("rep")), "near-first")
