@@ -222,19 +222,29 @@ ROW = ["rk1", "rk2"]  # of a document: 128 bits of hash of all its columns
 
 
 def anchor_rows(base: DataFrame, width: int, gram: int) -> DataFrame:
-    """(rk1, rk2, text) -> (rk1, rk2, h, fp1, fp2, first, n)"""
-    names = [*ROW, *KEYS, "first", "n"]
+    """(rk1, rk2, text) -> (rk1, rk2, h, fp1, fp2, first, n, more): a row for each different segment of a text; more: where it
+    stands after its first place, in ascending order (null: nowhere else)."""
+    names = [*ROW, *KEYS, "first", "n", "more"]
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks:
             owner, h, first, n, seg = anchors([t or b"" for t in as_bytes(b.column(2))], width, gram)
             one, two = np.ascontiguousarray(seg).view(np.int64).reshape(-1, 2).T
-            rk1, rk2 = b.column(0).to_numpy()[owner], b.column(1).to_numpy()[owner]
-            columns = [rk1, rk2, h.view(np.int64), one, two, first.astype(np.int32), n.astype(np.int32)]
-            for k in range(0, len(h), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in columns], names=names)
-
-    return base.select(*ROW, "text").mapInArrow(tidy(run), "rk1 long, rk2 long, h long, fp1 long, fp2 long, first int, n int")
+            # equal segments of a text side by side, in the order of their places
+            order = np.lexsort((first, one, owner))
+            owner, h, first, n, one, two = (c[order] for c in (owner, h.view(np.int64), first.astype(np.int32), n.astype(np.int32), one, two))
+            new = np.ones(len(h) + 1, bool)
+            new[1:-1] = (np.diff(owner) != 0) | (np.diff(h) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)
+            at = np.flatnonzero(new)
+            heads, again = at[:-1], np.diff(at) - 1
+            offsets = np.concatenate(([0], np.cumsum(again))).astype(np.int32)
+            more = pa.ListArray.from_arrays(pa.array(offsets), pa.array(first[~new[:-1]]), mask=pa.array(again == 0))
+            rk1, rk2 = b.column(0).to_numpy()[owner[heads]], b.column(1).to_numpy()[owner[heads]]
+            whole = pa.RecordBatch.from_arrays([*[pa.array(c) for c in (rk1, rk2, h[heads], one[heads], two[heads], first[heads], n[heads])], more], names=names)
+            for k in range(0, len(heads), 1 << 16):
+                yield whole.slice(k, 1 << 16)
+
+    return base.select(*ROW, "text").mapInArrow(tidy(run), "rk1 long, rk2 long, h long, fp1 long, fp2 long, first int, n int, more array<int>")
 
 
 CUT = "h long, fp1 long, fp2 long, m long, block int, blocks int, n int, role int, full boolean, data binary"
@@ -317,15 +327,17 @@ def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM, block:
     """(rk1, rk2, text[, ...]) -> (rk1, rk2, spans array<struct<lo, hi>>): byte ranges that repeated windows cover; not merged."""
     found = anchor_rows(base, width, gram)
     # partial aggregates; an anchor or a segment in a third of all documents is one row a task
-    copies = written(found.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("m")), "segment-counts")
+    places = F.when(F.col("more").isNull(), 1).otherwise(F.size("more") + 1)
+    copies = written(found.groupBy(*KEYS).agg(F.sum(places).alias("m")), "segment-counts")
     per = copies.groupBy("h").agg(F.sum("m").alias("c"), F.count(F.lit(1)).alias("k"), F.min("m").alias("least")).where("c > 1")
     # segments of anchors that occur twice; full: some of its anchor's segments have no copy and differ from others
     known = copies.join(per, "h").select(*KEYS, "m", "k", ((F.col("k") > 1) & (F.col("least") == 1)).alias("full"))
     known = written(known, "repeated-segments")  # a plain exchange on either side of the join lets a hot segment be split
     dup = written(found.join(known, KEYS), "repeated-anchors")
     # each different segment once, with two of its places
-    place = F.struct(*ROW, "first", "n")
-    todo = dup.groupBy(*KEYS, "m", "k", "full").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    place = lambda at: F.struct(*ROW, at.alias("first"), "n")
+    last = F.coalesce(F.element_at("more", -1), "first")
+    todo = dup.groupBy(*KEYS, "m", "k", "full").agg(F.min(place(F.col("first"))).alias("a"), F.max(place(last)).alias("b"))
     blocks = F.ceil(F.col("k") / F.lit(block or BLOCK)).cast("int")
     todo = written(todo.withColumn("blocks", blocks).withColumn("block", F.pmod("fp1", F.col("blocks")).cast("int")), "segments")
     solved = through_arrays(base, todo, width, "repeated-windows")
@@ -344,9 +356,10 @@ def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM, block:
     single = runs.join(todo.where("m = 1").select(*KEYS, "a"), KEYS).select("a.rk1", "a.rk2", (F.col("a.first") + F.col("lo")).alias("lo"), (F.col("a.first") + F.col("hi") - 1 + width).alias("hi"))
     # segments with copies go but where the array found none; that table is small (as a rule empty), and a large one is joined by sorting
     refuted = written(solved.where("m > 1 and d1 is null").select(*KEYS).distinct(), "refuted")
-    whole = F.struct(F.col("first").alias("lo"), (F.col("first") + F.col("n") - 1 + width).alias("hi"))
-    spans = dup.where("m > 1").join(refuted, KEYS, "left_anti").select(*ROW, whole.alias("s")).unionByName(single.select(*ROW, F.struct("lo", "hi").alias("s")))
-    return spans.groupBy(*ROW).agg(F.collect_set("s").alias("spans"))
+    firsts = F.when(F.col("more").isNull(), F.array("first")).otherwise(F.concat(F.array("first"), "more"))
+    whole = F.transform(firsts, lambda at: F.struct(at.alias("lo"), (at + F.col("n") - 1 + width).alias("hi")))
+    spans = dup.where("m > 1").join(refuted, KEYS, "left_anti").select(*ROW, whole.alias("s")).unionByName(single.select(*ROW, F.array(F.struct("lo", "hi")).alias("s")))
+    return spans.groupBy(*ROW).agg(F.flatten(F.collect_set("s")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH, gram: int = GRAM, block: int | None = None, as_text: bool = False) -> DataFrame:
