@@ -250,6 +250,9 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def link(asked: DataFrame) -> None:
         """Links those of asked(node, rep) that are near duplicates."""
         nonlocal linked, roots
+        asked = written(asked, "near-asked")
+        if not asked.limit(1).count():
+            return
         alike = written(verified(plain, nodes, asked, size, width, least), "near-alike")
         if alike.limit(1).count():
             linked = written(linked.unionByName(alike), "near-links")
@@ -257,7 +260,7 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # equal segments bring most of a group together, so that the balls bring what is still apart and not each member many times
     for some in (slice(0, n_segments // 4), slice(n_segments // 4, None)):
-        link(written(candidates(roots, some, False).groupBy("node").agg(F.min("rep").alias("rep")), "near-first"))
+        link(candidates(roots, some, False).groupBy("node").agg(F.min("rep").alias("rep")))
     for level in itertools.count(1):
         tried = candidates(roots, slice(None), True) if level == 1 else met.join(first_of, "slot").where("node <> rep")
         tried = written(tried, "near-tried")
