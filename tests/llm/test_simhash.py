@@ -161,3 +161,20 @@ def test_segments_and_word_bits():
     many = " ".join(f"w{i}" for i in range(300)).encode()
     fresh = WordBits(100)
     assert (bits.of(many) == fresh.of(many)).all() and not bits.of(b"").any() and (bits.of(b"a b") == bits.of(b"B a a")).all()
+
+
+def test_dissimilar_starts_few_jobs(spark):
+    """A table of little but unlike texts of the same words needs few jobs, and each two texts of a bucket are tried."""
+    import random
+
+    pick = random.Random(5)
+    line = " ".join(f"line{i}" for i in range(24))
+    texts = {k: line + " " + " ".join(pick.choices(["the", "of", "and", "in", "to", "a", "is", "on"], k=4)) + f" {k} {k // 2}" for k in range(60)}
+    texts |= {100 + k: " ".join(pick.choices(["the", "of", "and", "in", "to", "a", "is", "on"], k=60)) for k in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few", "near duplicates")
+    kept = {r.doc_id for r in keep_dissimilar(docs).collect()}
+    jobs = len(tracker.getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("other", "others")
+    assert kept == set(slow_near(texts).values()) and jobs < 150, jobs

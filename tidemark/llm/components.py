@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 
 
+def in_one_task(edges: DataFrame) -> DataFrame:
+    """What components gives for edges(a, b) of longs, all read by one task: for as many as one task can hold."""
+
+    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(k: int) -> int:
+            while (above := up.setdefault(k, k)) != k:
+                up[k] = k = up[above]
+            return k
+
+        for b in blocks:
+            for a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                low, high = sorted((root(a), root(c)))
+                up[high] = low
+        nodes = list(up)
+        for k in range(0, len(nodes), 1 << 16):
+            some = nodes[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(i) for i in some], pa.int64())], names=["node", "root"])
+
+    return edges.where("a <> b").select("a", "b").coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges(a, b) of any orderable ids -> (node, root): root is the least node of node's component.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_limits, as_bytes, joined_by, tidy, written
-from tidemark.llm.components import components
+from tidemark.llm.components import components, in_one_task
 
 CHUNK = 1 << 15
 
@@ -118,16 +118,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 # ---- near duplicates by the similarity of their texts
 
-ERRORS = 0.1  # share of differing bits that is looked up with a chance of MISSED to fail
+ERRORS = 0.1  # a pair with this share of differing bits and ALIKE of all its shingles in common (some 5 words in 100 edited)
+ALIKE = 0.63  # is looked up with a chance of MISSED to fail
 MISSED = 0.01
 FAR_BITS = 0.3  # pairs with a greater share of differing bits are not looked at further
+SHINGLE_BITS = 13  # of a segment's bits, those that a least shingle in common stands for
+POOL = 256  # bits of a SimHash that the segments are picked from
+ALONE = 1 << 18  # links that one task puts together; more are joined
 
 
 def segments_for(n: int) -> tuple[int, int]:
-    """(bits of a segment, number of segments) for n texts: the balls of a segment of chance bits meet few other texts, whatever
-    n, and a pair that differs in ERRORS of its bits agrees but for one bit in some segment with a chance of 1 - MISSED."""
+    """(bits of a segment, number of segments) for n texts: chance brings a text together with few others in a segment, whatever n,
+    and a pair with ERRORS and ALIKE agrees in some segment with a chance of 1 - MISSED."""
     bits = max(24, n.bit_length() + 11)
-    one = (1 - ERRORS) ** bits + bits * ERRORS * (1 - ERRORS) ** (bits - 1)
+    one = ALIKE * (1 - ERRORS) ** (bits - SHINGLE_BITS)
     return bits, math.ceil(math.log(MISSED) / math.log(1 - one))
 
 
@@ -159,6 +163,42 @@ class WordBits:
         return (2 * ones > len(words)).astype(np.uint8)
 
 
+class Segments:
+    """The keys of a text's segments: the least of its shingles by a hash that two segments share, with bits of its SimHash that the segment picks."""
+
+    def __init__(self, n: int, width: int):
+        bits, self.count = segments_for(n)
+        draw = np.random.Generator(np.random.PCG64(42))
+        self.pick = np.stack([draw.permutation(POOL)[: bits - SHINGLE_BITS] for _ in range(self.count)])
+        self.weights = np.int64(1) << np.arange(bits - SHINGLE_BITS, dtype=np.int64)
+        hashes = -(-self.count // 2)
+        self.by = np.arange(self.count) % hashes
+        self.places, self.flip, self.turn, self.own = (draw.integers(1 << 63, size=k, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (width, hashes, hashes, self.count))
+        self.width = width
+
+    @staticmethod
+    def mix(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
+
+    def of(self, text: bytes, bits: np.ndarray) -> np.ndarray:
+        """A long for each segment, for a text and its SimHash."""
+        import xxhash
+
+        words = text.lower().split()
+        least = np.full(len(self.flip), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        width = min(self.width, len(words))
+        for k in range(0, len(words) - width + 1 if words else 0, CHUNK):
+            some = words[k : k + CHUNK + width - 1]
+            h = np.fromiter(map(xxhash.xxh64_intdigest, some), np.uint64, len(some))
+            n = len(some) - width + 1
+            h = self.mix(sum(h[j : j + n] * self.places[j] for j in range(width)))
+            for i in range(len(least)):
+                least[i] = min(least[i], ((h ^ self.flip[i]) * self.turn[i]).min())
+        picked = (bits[self.pick] @ self.weights).astype(np.uint64)
+        return self.mix(self.mix(least[self.by] + self.own) ^ (picked * self.own)).view(np.int64)
+
+
 def shingles(text: bytes, width: int) -> list[bytes]:
     words = text.lower().split()
     return [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
@@ -185,107 +225,98 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two texts are near duplicates if at least `least` of the words of each stand in shingles of `width` words that both have.
     Upper and lower case of A-Z and kinds of white space make no difference; null, empty and wordless texts are one group.
 
-    Candidates come from multi-index hashing of a long SimHash of the different words, which one changed word moves less than
-    any longer shingle's: a text looks up the Hamming balls of radius one of each segment. A bucket answers with one text, and
-    links within what is one group already are not looked at, so a group of any size gives a few links a text and no pairs:
-    equal segments bring most of each group together, and from then on a bucket asks only those outside its first's group.
-    Texts that turn out not to be in the group of their bucket's first try its next ones, four times as many each time, until
-    none is left. Complete distances are
-    verified, then the similarity of the texts itself. A pair is missed with a chance that ERRORS and MISSED bound (see
-    segments_for); none is linked that is not alike.
+    Candidates come from multi-index hashing: a key of a segment is the least of the text's shingles by a hash of the segment,
+    together with some bits of a SimHash of its different words. Texts without a common shingle do not meet, whatever words they
+    share, and texts that share a frequent line meet only if the rest of their words is alike too, so the entries a text has
+    hardly grow with the table. Texts of one key are a bucket. All of a bucket try its first; those that are not in its
+    group then answer too, eight times as many each time, and all of the bucket outside their group try them, until each two
+    of a bucket are in one group or were tried. Links within what is one group already are not looked at, so a group of any
+    size gives a few links a text and no pairs. Distances of the SimHash are looked at first, then the similarity of the texts
+    itself. A pair is missed with a chance that ERRORS, ALIKE and MISSED bound (see segments_for); none is linked that is not alike.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("rk"), F.xxhash64(F.lit("second"), text_col).alias("rk2"))
-    n_bits, n_segments = segments_for(plain.select("rk").count())
-    size = n_bits * n_segments
+    n = docs.count()
 
-    def long_fingerprints(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordBits(size)
+    def sketches(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, segments = WordBits(POOL), Segments(n, width)
         for b in blocks:
-            made = [np.packbits(known.of(t or b"")).tobytes() for t in as_bytes(b.column(3))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.binary())], names=["doc_id", "rk", "rk2", "fp"])
-
-    rows = plain.select("doc_id", "rk", "rk2", "text").mapInArrow(tidy(long_fingerprints), "doc_id long, rk long, rk2 long, fp binary")
+            made, slots = [], []
+            for t in as_bytes(b.column(3)):
+                bits = known.of(t or b"")
+                made.append(np.packbits(bits).tobytes())
+                slots.append(segments.of(t or b"", bits))
+            ends = pa.array(np.arange(len(slots) + 1, dtype=np.int32) * segments.count)
+            keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(slots) if slots else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.binary()), keys], names=["doc_id", "rk", "rk2", "fp", "slots"])
+
+    rows = plain.select("doc_id", "rk", "rk2", "text").mapInArrow(tidy(sketches), "doc_id long, rk long, rk2 long, fp binary, slots array<long>")
     # equal texts are one node from here on
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk")
-    nodes = rows.groupBy("rk", "rk2").agg(F.min(first).alias("least"), F.first("fp").alias("fp"))
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "rk", "rk2", "least", "fp"), "near-nodes")
-
-    def entries(roots: DataFrame, segments: slice, flips: bool) -> DataFrame:
-        """(node, root, slot) of the keys of a node's segments or of those keys with a set bit cleared; slot: segment and key."""
-        numbers = np.arange(n_segments, dtype=np.int64)[segments]
-
-        def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights = np.int64(1) << np.arange(n_bits - 1, -1, -1, dtype=np.int64)
-            for b in blocks:
-                for first in range(0, b.num_rows, 256):
-                    some = b.slice(first, 256)
-                    raw = np.frombuffer(b"".join(some.column(2).to_pylist()), np.uint8).reshape(some.num_rows, -1)
-                    bits = np.unpackbits(raw, axis=1)[:, :size].reshape(some.num_rows, n_segments, n_bits)[:, segments]
-                    slots = bits @ weights + (numbers << n_bits)
-                    if flips:
-                        row, k, bit = np.nonzero(bits)
-                        slot = slots[row, k] - weights[bit]
-                    else:
-                        row, slot = np.repeat(np.arange(some.num_rows), len(numbers)), slots.reshape(-1)
-                    columns = [some.column(0).to_numpy()[row], some.column(1).to_numpy()[row], slot]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "root", "slot"])
-
-        of_group = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
-        return of_group.mapInArrow(tidy(run), "node long, root long, slot long")
-
-    def candidates(roots: DataFrame, segments: slice, balls: bool) -> DataFrame:
-        """(node, slot, own, rep): a bucket answers with its least node; who is of its group by now is not asked again."""
-        own = entries(roots, segments, False)
-        met = own.withColumn("own", F.lit(True))
-        if balls:
-            met = met.unionByName(entries(roots, segments, True).withColumn("own", F.lit(False)))
-        first_of = own.groupBy("slot").agg(F.min(F.struct("node", "root")).alias("first")).select("slot", F.col("first.node").alias("rep"), F.col("first.root").alias("rep_root"))
-        return met.join(first_of, "slot").where("root <> rep_root").select("node", "slot", "own", "rep")
-
-    linked = written(nodes.select("node", F.col("node").alias("rep")).where("false"), "near-links")
-    roots = written(linked.select("node", F.col("node").alias("root")), "near-roots")
+    nodes = rows.groupBy("rk", "rk2").agg(F.min(first).alias("least"), F.first("fp").alias("fp"), F.first("slots").alias("slots"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "rk", "rk2", "least", "fp", "slots"), "near-nodes")
+    entries = nodes.select("node", F.explode("slots").alias("slot"))
+    buckets = entries.groupBy("slot").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("slot", "head")
+    met = written(entries.join(buckets, "slot"), "near-met")  # slot, node, head
+    texts = texts_of(plain, nodes, met.select("node").distinct())
+    fps = nodes.select("node", "fp")
+
+    linked = roots = None
 
     def link(asked: DataFrame) -> None:
         """Links those of asked(node, rep) that are near duplicates."""
         nonlocal linked, roots
-        asked = written(asked, "near-asked")
-        if not asked.limit(1).count():
-            return
-        alike = written(verified(plain, nodes, asked, size, width, least), "near-alike")
-        if alike.limit(1).count():
-            linked = written(linked.unionByName(alike), "near-links")
-            roots = written(components(linked.select(F.col("node").alias("a"), F.col("rep").alias("b")), "near-components"), "near-roots")
-
-    # equal segments bring most of a group together, so that the balls bring what is still apart and not each member many times
-    for some in (slice(0, n_segments // 4), slice(n_segments // 4, None)):
-        link(candidates(roots, some, False).groupBy("node").agg(F.min("rep").alias("rep")))
+        alike = written(verified(texts, asked, width, least), "near-alike")
+        if not alike.isEmpty():
+            linked = alike if linked is None else linked.unionByName(alike)
+            edges = linked.select(F.col("node").alias("a"), F.col("rep").alias("b"))
+            roots = written(in_one_task(edges) if edges.count() <= ALONE else components(edges, "near-components"), "near-roots")
+
+    tried = met.where("node <> head").select("slot", "node", F.col("head").alias("rep"))
+    left, answered = tried, met.select("slot", F.col("head").alias("node")).distinct()
     for level in itertools.count(1):
-        tried = candidates(roots, slice(None), True) if level == 1 else met.join(first_of, "slot").where("node <> rep")
-        tried = written(tried, "near-tried")
-        # first a text's least candidate; then a candidate for any two groups; then what is still apart
-        least_one = written(tried.groupBy("node").agg(F.min("rep").alias("rep")), "near-first")
-        others = written(tried.select("node", "rep").distinct().join(least_one, ["node", "rep"], "left_anti"), "near-others")
-        for asked, one in ((least_one, False), (others, True), (others, False)):
-            link(apart(asked, roots, one))
-        # a text that has answered for its bucket has met all of it
-        answered = tried.select("slot", F.col("rep").alias("node")).distinct()
-        met = written(apart(tried, roots).select("node", "slot", "own").distinct().join(answered, ["node", "slot"], "left_anti"), "near-left")
-        nth = F.row_number().over(Window.partitionBy("slot").orderBy("rep"))
-        first_of = met.where("own").select("slot", F.col("node").alias("rep")).withColumn("nth", nth).where(F.col("nth") <= 4**level).drop("nth")
-        if not met.where("own").limit(1).count():
+        close = written(near(tried.select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).distinct(), fps), "near-close")
+        if not close.isEmpty():
+            # first a text's least candidate, which brings a large group together; then a candidate for any two groups; then what is still apart
+            if level == 1:
+                link(close.groupBy("node").agg(F.min("rep").alias("rep")))
+            for one in (True, False):
+                asked = written(apart(close, roots, one), "near-asked")
+                if asked.isEmpty():
+                    break
+                link(asked)
+        # who is not in the group of its bucket's head answers too, if it has not yet; where none was tried, a bucket is done
+        left = left.select("slot", "node") if level == 1 else left.join(tried.select("slot").distinct(), "slot", "left_semi").select("slot", "node")
+        left = left.join(answered, ["slot", "node"], "left_anti").join(met, ["slot", "node"]).withColumnRenamed("head", "rep")
+        left = written(apart(left, roots).select("slot", "node"), "near-left")
+        if left.isEmpty():
+            break
+        nth = F.row_number().over(Window.partitionBy("slot").orderBy("node"))
+        now = written(left.withColumn("nth", nth).where(F.col("nth") <= 8**level).select("slot", F.col("node").alias("rep")), "near-now")
+        others = met.join(answered, ["slot", "node"], "left_anti").select("slot", "node").join(left.withColumn("asks", F.lit(True)), ["slot", "node"], "left")
+        group = nodes.select("node").withColumn("root", F.col("node")) if roots is None else roots
+        others = others.join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        reps = now.join(group.select(F.col("node").alias("rep"), F.col("root").alias("rep_root")), "rep", "left").withColumn("rep_root", F.coalesce("rep_root", "rep"))
+        # two that both answer meet once
+        tried = others.join(reps, "slot").where((F.col("root") != F.col("rep_root")) & (F.col("asks").isNull() | (F.col("node") > F.col("rep"))))
+        tried = written(tried.select("slot", "node", "rep"), "near-tried")
+        if tried.isEmpty():
             break
-    named = nodes.select("node", "least").join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+        answered = answered.unionByName(now.withColumnRenamed("rep", "node"))
+    named = nodes.select("node", "least")
+    named = named.select("least", F.col("node").alias("root")) if roots is None else named.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     best = named.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.rk")
     same = (F.col("p.rk") == F.col("b.rk")) & F.col("p.doc_id").eqNullSafe(F.col("b.doc_id"))
     keepers = written(plain.select("doc_id", "rk").alias("p").join(best.alias("b"), same).select("p.doc_id", "p.rk"), "near-keepers")
     return only(docs, keepers, id_col, text_col)
 
 
-def apart(pairs: DataFrame, roots: DataFrame, one: bool = False) -> DataFrame:
+def apart(pairs: DataFrame, roots: DataFrame | None, one: bool = False) -> DataFrame:
     """The rows of pairs(node, rep, ...) whose texts are not in one group yet; with one, a row for any two groups.
-    roots(node, root) has the texts with a link."""
+    roots(node, root) has the texts with a link (None: there are no links)."""
+    if roots is None:
+        return pairs
     of_node, of_rep = roots.withColumnRenamed("root", "_a"), roots.select(F.col("node").alias("rep"), F.col("root").alias("_b"))
     both = pairs.join(of_node, "node", "left").join(of_rep, "rep", "left").withColumn("_a", F.coalesce("_a", "node")).withColumn("_b", F.coalesce("_b", "rep")).where("_a <> _b")
     if one:
@@ -293,24 +324,30 @@ def apart(pairs: DataFrame, roots: DataFrame, one: bool = False) -> DataFrame:
     return both.select(*pairs.columns)
 
 
-def verified(plain: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, width: int, least: float) -> DataFrame:
-    """pairs(node, rep) that are near duplicates: first by complete distance, then by their texts."""
-    fp = nodes.select("node", "fp")
-    both = pairs.join(fp, "node").join(fp.select(F.col("node").alias("rep"), F.col("fp").alias("rep_fp")), "rep").select("node", "rep", "fp", "rep_fp")
+def near(pairs: DataFrame, fps: DataFrame) -> DataFrame:
+    """pairs(node, rep) whose SimHashes, of fps(node, fp), are not far from each other."""
+    both = pairs.join(fps, "node").join(fps.select(F.col("node").alias("rep"), F.col("fp").alias("rep_fp")), "rep").select("node", "rep", "fp", "rep_fp")
 
-    def near(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks:
             if b.num_rows:
                 a, c = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
-                keep = pa.array(np.bitwise_count(a ^ c).sum(axis=1) <= FAR_BITS * size)
+                keep = pa.array(np.bitwise_count(a ^ c).sum(axis=1) <= FAR_BITS * POOL)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["node", "rep"]).filter(keep)
 
-    close = written(both.mapInArrow(tidy(near), "node long, rep long"), "near-close")
-    wanted = close.select("node").unionByName(close.select(F.col("rep").alias("node"))).distinct()
+    return both.mapInArrow(tidy(run), "node long, rep long")
+
+
+def texts_of(plain: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes, written."""
     wanted = written(wanted.join(nodes.select("node", "rk", "rk2", "least"), "node"), "near-wanted")  # where that is small, it goes to the texts
     one = (F.col("p.rk") == F.col("w.rk")) & (F.col("p.rk2") == F.col("w.rk2")) & F.col("p.doc_id").eqNullSafe(F.col("w.least.doc_id"))
-    texts = written(plain.alias("p").join(wanted.alias("w"), one).select("w.node", "p.text").dropDuplicates(["node"]), "near-texts")
-    read = close.join(texts, "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep").select("node", "rep", "text", "rep_text")
+    return written(plain.alias("p").join(wanted.alias("w"), one).select("w.node", "p.text").dropDuplicates(["node"]), "near-texts")
+
+
+def verified(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """pairs(node, rep) that are near duplicates by their texts."""
+    read = pairs.join(texts, "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep").select("node", "rep", "text", "rep_text")
 
     def alike(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, other, other_set = None, [], set()
