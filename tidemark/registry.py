@@ -754,9 +754,13 @@ def edit_codec(spark, sf):
 
 @query(f"with {EDITS}, l as (select *, row_number() over (partition by level, num order by ord desc) as n from edits) select level, num, size from l where n = 1 and action = 'add'")
 def manifest_rewrite(spark, sf):
-    """A log of edits read into a version, the version written as one edit, that read again."""
-    log = editlog.write_log([manifest.Edit(comparer="bytewise", next_file=1, journal=0, seq=0), *(edit_of(r) for r in edits(spark, sf).orderBy("ord").toLocalIterator())])
-    again = editlog.recover(editlog.write_log([editlog.snapshot(editlog.recover(log))]))
+    """A log of edits read into a version, the version written as one edit, that read again.
+
+    The log stays on the executors, in segments. The version has a file a (level, num), at most 600 here whatever the log's length.
+    """
+    first = spark.createDataFrame([(-1, bytearray(editlog.write_log([manifest.Edit(comparer="bytewise", next_file=1, journal=0, seq=0)])))], editlog.SEGMENTS)
+    log = first.unionByName(editlog.segments(edits(spark, sf).select("ord", "action", "level", "num", "size"), edit_of, ["ord"]))
+    again = editlog.recover(editlog.write_log([editlog.snapshot(editlog.recover_segments(log))]))
     return spark.createDataFrame([(f.level, f.num, f.size) for f in again.files], "level int, num long, size long")
 
 

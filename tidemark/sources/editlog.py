@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import replace
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tidemark.errors import Corrupted
 from tidemark.functions.keys import get_uvarint, put_uvarint
 from tidemark.plans.manifest import Edit, File, Version
@@ -9,6 +16,8 @@ from tidemark.sources import journal
 
 # The tags of the format.
 COMPARER, JOURNAL, NEXT_FILE, SEQ, POINTER, DELETED, ADDED = 1, 2, 3, 4, 5, 6, 7
+# Bytes of a log that one row of a distributed log holds, about.
+SEGMENT = 1 << 20
 
 
 def _bytes(b: bytes) -> bytes:
@@ -83,13 +92,98 @@ def write_log(edits: list[Edit]) -> bytes:
     return bytes(out.data)
 
 
+def total(edits: Iterable[Edit]) -> tuple[Edit, int]:
+    """(one edit that does what the edits do after each other, how many they are): the last action of each file counts."""
+    files: dict[tuple[int, int], File | None] = {}
+    out, n = Edit(), 0
+    for e in edits:
+        n += 1
+        if e.add and e.delete:
+            e = e.net()
+        for d in e.delete:
+            files.pop(d, None)
+            files[d] = None
+        for f in e.add:
+            files.pop((f.level, f.num), None)
+            files[f.level, f.num] = f
+        for name in ("seq", "next_file", "journal"):
+            if (value := getattr(e, name)) is not None:
+                setattr(out, name, max(value, getattr(out, name) or 0))
+        if e.comparer is not None:
+            out.comparer = e.comparer or out.comparer or ""
+        out.pointers.update(e.pointers)
+    out.add, out.delete = [f for f in files.values() if f], [d for d, f in files.items() if not f]
+    return out, n
+
+
+def recovered(edit: Edit, n: int, where: str = "") -> Version:
+    """The version that n edits of this total make. Comparer, sequence number, next file and journal must each have been set by some edit."""
+    if missing := [name for name in ("comparer", "journal", "next_file", "seq") if getattr(edit, name) is None]:
+        raise Corrupted(f"no edit sets {', '.join(missing)}", where)
+    return replace(Version(comparer="").apply(edit), number=n)
+
+
 def recover(data: bytes, where: str = "") -> Version:
-    """Fold all edits of a log. Comparer, sequence number, next file and journal must each have been set by some edit."""
-    version, seen = Version(comparer=""), set()
-    for chunk in journal.chunks(data):
-        edit = decode(chunk)
-        seen |= {n for n in ("comparer", "seq", "next_file", "journal") if getattr(edit, n) is not None}
-        version = version.apply(edit)
-    if missing := {"comparer", "seq", "next_file", "journal"} - seen:
-        raise Corrupted(f"no edit sets {', '.join(sorted(missing))}", where)
-    return version
+    """Fold all edits of a log."""
+    return recovered(*total(decode(chunk) for chunk in journal.chunks(data)), where)
+
+
+# ---- logs of any length, as rows (place, data): segments in the order of their place, each a log by itself
+
+SEGMENTS = "place long, data binary"
+
+
+def segments(edits: DataFrame, make: Callable[[dict], Edit], order: list[str]) -> DataFrame:
+    """The edits in their order as a log; make gives the edit of a row. A task holds one segment."""
+    schema = pa.schema([("place", pa.int64()), ("data", pa.binary())])
+
+    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        def cut() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([bytes(out.data)], pa.binary())], schema=schema)
+
+        out, place = journal.Writer(), TaskContext.get().partitionId() << 33
+        for b in blocks:
+            for r in b.to_pylist():
+                out.chunk(encode(make(r)))
+                if len(out.data) >= SEGMENT:
+                    yield cut()
+                    out, place = journal.Writer(), place + 1
+        if out.data:
+            yield cut()
+
+    return edits.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, SEGMENTS)
+
+
+def recover_segments(log: DataFrame, where: str = "") -> Version:
+    """recover of a log in segments. Each is folded where it lies; of what the segments say of a file the last counts. A row a live
+    file reaches the driver, and one a pointer."""
+    schema = pa.schema([("place", pa.int64()), ("what", pa.string()), ("level", pa.int32()), ("num", pa.int64()), ("size", pa.int64()), ("min_key", pa.binary()), ("max_key", pa.binary()), ("n", pa.int64()), ("seq", pa.int64()), ("next_file", pa.int64()), ("journal", pa.int64()), ("comparer", pa.string())])
+    rows_of = "place long, what string, level int, num long, size long, min_key binary, max_key binary, n long, seq long, next_file long, journal long, comparer string"
+
+    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks:
+            for place, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                e, n = total(decode(chunk) for chunk in journal.chunks(data))
+                rows = [{"what": "all", "n": n, "seq": e.seq, "next_file": e.next_file, "journal": e.journal, "comparer": e.comparer}]
+                rows += [{"what": "pointer", "level": level, "max_key": key} for level, key in e.pointers.items()]
+                rows += [{"what": "del", "level": level, "num": num} for level, num in e.delete]
+                rows += [{"what": "add", "level": f.level, "num": f.num, "size": f.size, "min_key": f.min_key, "max_key": f.max_key} for f in e.add]
+                for k in range(0, len(rows), 4096):
+                    yield pa.RecordBatch.from_pylist([{"place": place, **r} for r in rows[k : k + 4096]], schema=schema)
+
+    parts = log.select("place", "data").mapInArrow(run, rows_of)
+    last = F.max_by(F.struct("what", "size", "min_key", "max_key"), "place").alias("last")
+    scalars = [F.sum("n").alias("n"), *(F.max(c).alias(c) for c in ("seq", "next_file", "journal")), F.max_by("comparer", F.when(F.length("comparer") > 0, F.col("place"))).alias("comparer"), F.max("comparer").alias("any_comparer")]
+    of_file = F.when(F.col("what").isin("add", "del"), "file").otherwise(F.col("what")).alias("of")
+    edit, n = Edit(), 0
+    for r in parts.groupBy(of_file, "level", "num").agg(last, *scalars).where("last.what <> 'del'").toLocalIterator():
+        if r["of"] == "file":
+            edit.add.append(File(r["level"], r["num"], r["last"]["size"], bytes(r["last"]["min_key"]), bytes(r["last"]["max_key"])))
+        elif r["of"] == "pointer":
+            edit.pointers[r["level"]] = bytes(r["last"]["max_key"])
+        else:
+            n, edit.seq, edit.next_file, edit.journal = r["n"], r["seq"], r["next_file"], r["journal"]
+            edit.comparer = r["any_comparer"] if r["comparer"] is None else r["comparer"]
+    return recovered(edit, n, where)
