@@ -72,6 +72,31 @@ def test_bloom(spark):
     assert bloom.may_hold(filters, df, "g", "k").where("not maybe").count() == 0
 
 
+def test_bloom_asked_by_words(spark):
+    """Words and bit numbers answer as the byte form does, for repeated, null and absent keys; no row holds a whole filter."""
+    held = {g: [b"%d/%d" % (g, i) for i in range(n)] for g, n in ((0, 1), (1, 40), (2, 3000))}
+    df = spark.createDataFrame([(g, bytearray(k)) for g, ks in held.items() for k in ks], "g int, k binary")
+    rows = [(i, g, k) for g in (0, 1, 2) for i, k in enumerate([*held[g][:50], *(b"no%d" % i for i in range(400)), b"", held[g][0]])] + [(0, 0, None), (0, None, b"x"), (0, 9, b"x"), (7, 2, b"twice"), (7, 2, b"twice")]
+    asked = spark.createDataFrame([(i, g, None if k is None else bytearray(k)) for i, g, k in rows], "i int, g int, k binary")
+    raw = {g: bloom.Bloom.build(ks) for g, ks in held.items()}
+    want = sorted(((i, g, k, g in raw and k is not None and bloom.Bloom.may_hold(raw[g], k)) for i, g, k in rows), key=repr)
+    words = bloom.build_words(df, "g", "k")
+    for filters in (words, bloom.build_bits(df, "g", "k")):
+        got = bloom.may_hold(filters, asked, "g", "k")
+        assert got.columns == ["i", "g", "k", "maybe"]
+        assert sorted(((r.i, r.g, None if r.k is None else bytes(r.k), r.maybe) for r in got.collect()), key=repr) == want
+    assert any(not w[3] for w in want) and sum(w[3] for w in want if w[2] and w[2][:2] == b"no") > 0
+
+
+@pytest.mark.parametrize("name", ["bloom_probe"])
+def test_no_filter_in_a_row(spark, name):
+    """The time of a key asked does not grow with the keys of its filter."""
+    from tidemark import registry
+
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array_except" not in plan
+
+
 def test_journal_framing():
     out = journal.Writer()
     body = [bytes([1, 2, 3, 4]) * 1024] * 8 + [bytes([1, 2, 3, 4]) * 256, b"hello", b"apple juice", b"apple rice"]

@@ -39,10 +39,10 @@ def fnv1_column(key: Column) -> Column:
     return F.aggregate(codes, F.lit(OFFSET).cast("long"), lambda h, b: (h * PRIME).bitwiseAND(F.lit(MASK)).bitwiseXOR(b))
 
 
-def probes(hash_: Column, bits: Column, k: int) -> Column:
-    """Bit numbers a key sets: h, h + delta, ... modulo the bits; delta is h turned right by 17."""
+def probe(hash_: Column, bits: Column, i: Column) -> Column:
+    """Bit number i of those that a key sets: h, h + delta, ... modulo the bits; delta is h turned right by 17."""
     step = F.shiftrightunsigned(hash_, 17).bitwiseOR(F.shiftleft(hash_, 15).bitwiseAND(F.lit(MASK)))
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod((hash_ + i * step).bitwiseAND(F.lit(MASK)), bits))
+    return F.pmod((hash_ + i * step).bitwiseAND(F.lit(MASK)), bits)
 
 
 def fnv1_of(keys: list[bytes]) -> np.ndarray:
@@ -62,6 +62,15 @@ def fnv1_of(keys: list[bytes]) -> np.ndarray:
     return out
 
 
+def fnv1_batches(key: Column) -> Column:
+    """fnv1_column by Arrow batches."""
+
+    def run(keys: pa.Array) -> pa.Array:
+        return pa.array(fnv1_of(keys.fill_null(b"").to_pylist()).astype(np.int64), pa.int64(), mask=keys.is_null().to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(run, T.LongType())(key.cast("binary"))
+
+
 def build_words(keys: DataFrame, group: str, key: str, bits_per_key: int = 10) -> DataFrame:
     """(group, n_bits, word, bits): one filter a group, from its distinct keys; word i has the bits 64 i to 64 i + 63.
 
@@ -107,12 +116,28 @@ def build_bits(keys: DataFrame, group: str, key: str, bits_per_key: int = 10) ->
     return words.groupBy(group, "n_bits").agg(F.array_sort(F.flatten(F.collect_list(set_bits(F.col("word"), F.col("bits"))))).alias("bits"))
 
 
+def words_of(filters: DataFrame, group: str) -> DataFrame:
+    """build_bits as build_words."""
+    at = filters.select(group, "n_bits", F.explode("bits").alias("_at")).select(group, "n_bits", F.shiftright("_at", 6).alias("word"), F.expr("shiftleft(1L, cast(_at % 64 as int))").alias("_bit"))
+    return at.groupBy(group, "n_bits", "word").agg(F.bit_or("_bit").alias("bits"))
+
+
 def may_hold(filters: DataFrame, asked: DataFrame, group: str, key: str, bits_per_key: int = 10) -> DataFrame:
-    """asked(group, key) with `maybe`: false only if the group's filter has not all of the key's bits."""
-    k = n_probes(bits_per_key)
-    joined = asked.join(filters, group, "left")
-    hit = F.size(F.array_except(probes(fnv1_column(F.col(key)), F.col("n_bits"), k), F.col("bits"))) == 0
-    return joined.select(*asked.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
+    """asked(group, key) with `maybe`: false only if the group's filter has not all of the key's bits. filters: of build_words or build_bits.
+
+    Each different hash asked of a filter goes as its bits to the words they are in, and its answers come together again; nothing
+    holds a whole filter.
+    """
+    words = (filters if "word" in filters.columns else words_of(filters, group)).select(F.col(group).alias("_g"), "n_bits", F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    hashed = asked.withColumn("_h", fnv1_batches(F.col(key)))
+    wanted = hashed.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(group).alias("_g"), "_h").distinct()
+    sized = wanted.join(F.broadcast(words.groupBy("_g").agg(F.max("n_bits").alias("_n"))), "_g")  # a row a filter
+    at = sized.select("_g", "_h", "_n", F.explode(F.array(*map(F.lit, range(n_probes(bits_per_key))))).alias("_i")).select("_g", "_h", probe(F.col("_h"), F.col("_n"), F.col("_i")).alias("_at"))
+    tried = at.select("_g", "_h", F.shiftright("_at", 6).alias("_word"), (F.col("_at") % 64).cast("int").alias("_place")).join(words, ["_g", "_word"], "left")
+    hit = F.coalesce(F.call_function("getbit", F.col("_bits"), F.col("_place")) == 1, F.lit(False))
+    found = tried.groupBy("_g", "_h").agg(F.every(hit).alias("_hit")).withColumnRenamed("_h", "_f")
+    joined = hashed.join(found, (F.col(group) == F.col("_g")) & (F.col("_h") == F.col("_f")), "left")
+    return joined.select(*asked.columns, F.coalesce("_hit", F.lit(False)).alias("maybe"))
 
 
 class Bloom:

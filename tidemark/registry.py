@@ -434,7 +434,7 @@ def bloom_build(spark, sf):
 @query("select c_custkey, true as maybe from customer")
 def bloom_probe(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("g"), F.col("c_name").cast("binary").alias("key"))
-    return bloom.may_hold(bloom.build_bits(c, "g", "key"), c, "g", "key").select("c_custkey", "maybe")
+    return bloom.may_hold(bloom.build_words(c, "g", "key"), c, "g", "key").select("c_custkey", "maybe")
 
 
 @query(f"with k as (select distinct c_nationkey as g, c_name, {FNV} as h from customer), n as (select g, greatest(64, (count(*) * 10 + 7) // 8 * 8) as bits from k group by g), p as (select distinct k.g, ((h + i * ((h >> 17) | ((h << 15) & 4294967295))) & 4294967295) % n.bits as bit from k join n using (g), range(0, 7) t(i)), a as (select c_custkey, g, {FNV} as h from (select c_custkey, (c_nationkey + 1) % 25 as g, c_name || '?' as c_name from customer)), b as (select distinct a.c_custkey, a.g, ((h + i * ((h >> 17) | ((h << 15) & 4294967295))) & 4294967295) % n.bits as bit from a join n using (g), range(0, 7) t(i)) select a.c_custkey, count(b.bit) > 0 and count(b.bit) = count(p.bit) as maybe from a left join b on a.c_custkey = b.c_custkey left join p on b.g = p.g and b.bit = p.bit group by a.c_custkey")
