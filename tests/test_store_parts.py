@@ -88,7 +88,7 @@ def test_bloom_asked_by_words(spark):
     assert any(not w[3] for w in want) and sum(w[3] for w in want if w[2] and w[2][:2] == b"no") > 0
 
 
-@pytest.mark.parametrize("name", ["bloom_probe"])
+@pytest.mark.parametrize("name", ["bloom_probe", "bloom_probe_absent"])
 def test_no_filter_in_a_row(spark, name):
     """The time of a key asked does not grow with the keys of its filter."""
     from tidemark import registry

@@ -442,7 +442,7 @@ def bloom_probe_absent(spark, sf):
     """Names that no filter was given are asked of another nation's filter: true only where all their bits happen to be set."""
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("g"), F.col("c_name").cast("binary").alias("key"))
     asked = table(spark, sf, "customer").select("c_custkey", F.pmod(F.col("c_nationkey") + 1, F.lit(25)).alias("g"), F.concat("c_name", F.lit("?")).cast("binary").alias("key"))
-    return bloom.may_hold(bloom.build_bits(c, "g", "key"), asked, "g", "key").select("c_custkey", "maybe")
+    return bloom.may_hold(bloom.build_words(c, "g", "key"), asked, "g", "key").select("c_custkey", "maybe")
 
 
 @query("select 'u' || user_id as ukey, event_id as seq, case when event_type = 'error' then 2 else 1 end as kt, case when event_type <> 'error' then event_type end as value from events")
