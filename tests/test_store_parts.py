@@ -216,3 +216,36 @@ def test_replay_of_files(spark, tmp_path):
         (tmp_path / f"{n:06d}.log").write_bytes(bytes(out.data))
     rows = journal.replay(spark, f"file://{tmp_path}", since=6).collect()
     assert sorted((r.seq, r.kt, bytes(r.ukey), None if r.value is None else bytes(r.value)) for r in rows) == [w for w in want if w[0] >= 6]
+
+
+def test_delta_of_versions(spark):
+    """Numbers of any sign and distance, repeated or null; what is shuffled is a row a word of 64 numbers."""
+    from tidemark.plans.manifest import delta
+
+    old = [0, 1, 63, 64, 64, 65, -1, -64, -65, 2**62, 2**63 - 1, -(2**63), None, *range(1000, 3000)]
+    new = [1, 1, 62, 63, 64, 127, -1, -2, -64, 2**62 + 1, 2**63 - 1, *range(2000, 4000)]
+    frame = lambda nums: spark.createDataFrame([(n,) for n in nums], "num long")
+    want = [("add", n) for n in set(new) - set(old)] + [("del", n) for n in set(old) - set(new)]
+    assert sorted((tuple(r) for r in delta(frame(old), frame(new)).collect()), key=repr) == sorted(want, key=repr)
+    assert [tuple(r) for r in delta(frame(new), frame([*new, None])).collect()] == [("add", None)]
+    assert delta(frame(old), frame(old)).count() == delta(frame([]), frame([])).count() == 0
+    ids = spark.range(64_000).withColumnRenamed("id", "num")
+    made = delta(ids.where("num % 3 = 0"), ids.where("num % 3 <> 0"))
+    assert made.count() == 64_000
+    moved = made.groupBy().count()
+    moved.collect()
+    rows = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if name == "ShuffleExchangeExec":
+            rows.append(node.metrics().get("shuffleRecordsWritten").get().value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(moved._jdf.queryExecution().executedPlan())
+    assert rows and max(rows) < 20_000

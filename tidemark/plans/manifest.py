@@ -43,10 +43,19 @@ def scalars(edits: DataFrame, names: list[str]) -> DataFrame:
 
 
 def delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(action, num): files of one version that the other has not."""
-    gone = old.select("num").exceptAll(new.select("num")).select(F.lit("del").alias("action"), "num")
-    came = new.select("num").exceptAll(old.select("num")).select(F.lit("add").alias("action"), "num")
-    return came.unionByName(gone)
+    """(action, num): files of one version that the other has not.
+
+    64 numbers that follow each other are one row, a bit a number for either version.
+    """
+    bit = F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("num").cast("long").bitwiseAND(F.lit(63)).cast("int")), F.lit(1).cast("long"))
+    none = F.lit(0).cast("long")
+    word = F.shiftright(F.col("num").cast("long"), 6).alias("word")
+    both = old.select(word, bit.alias("old"), none.alias("new")).unionByName(new.select(word, none.alias("old"), bit.alias("new")))
+    words = both.groupBy("word").agg(F.bit_or("old").alias("old"), F.bit_or("new").alias("new")).where("old <> new")
+    each = words.withColumn("i", F.explode(F.array(*map(F.lit, range(64)))))
+    was, is_ = (F.call_function("getbit", F.col(c), F.col("i")) == 1 for c in ("old", "new"))
+    num = (F.shiftleft("word", 6) + F.col("i")).cast(old.schema["num"].dataType).alias("num")
+    return each.where(was != is_).select(F.when(is_, "add").otherwise("del").alias("action"), num)
 
 
 def orphans(files: DataFrame, versions: DataFrame, pinned: DataFrame) -> DataFrame:
