@@ -134,7 +134,7 @@ SEGMENTS = "place long, data binary"
 
 
 def segments(edits: DataFrame, make: Callable[[dict], Edit], order: list[str]) -> DataFrame:
-    """The edits in their order as a log; make gives the edit of a row. A task holds one segment."""
+    """The edits in their order as a log; make gives the edit of a row. A task holds one segment of what it writes."""
     schema = pa.schema([("place", pa.int64()), ("data", pa.binary())])
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,15 +157,15 @@ def segments(edits: DataFrame, make: Callable[[dict], Edit], order: list[str]) -
 
 
 def recover_segments(log: DataFrame, where: str = "") -> Version:
-    """recover of a log in segments. Each is folded where it lies; of what the segments say of a file the last counts. A row a live
-    file reaches the driver, and one a pointer."""
+    """recover of a log in segments. Each is folded where it lies; of what the segments say of a file the last counts. A task reads
+    them in Arrow batches, which Spark ends at 64 MiB. A row a live file reaches the driver, and one a pointer."""
     schema = pa.schema([("place", pa.int64()), ("what", pa.string()), ("level", pa.int32()), ("num", pa.int64()), ("size", pa.int64()), ("min_key", pa.binary()), ("max_key", pa.binary()), ("n", pa.int64()), ("seq", pa.int64()), ("next_file", pa.int64()), ("journal", pa.int64()), ("comparer", pa.string())])
     rows_of = "place long, what string, level int, num long, size long, min_key binary, max_key binary, n long, seq long, next_file long, journal long, comparer string"
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks:
-            for place, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                e, n = total(decode(chunk) for chunk in journal.chunks(data))
+            for place, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                e, n = total(decode(chunk) for chunk in journal.chunks(data.as_py()))
                 rows = [{"what": "all", "n": n, "seq": e.seq, "next_file": e.next_file, "journal": e.journal, "comparer": e.comparer}]
                 rows += [{"what": "pointer", "level": level, "max_key": key} for level, key in e.pointers.items()]
                 rows += [{"what": "del", "level": level, "num": num} for level, num in e.delete]
